@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import bpe
 from tessera.llm.common import read_table
+from tessera.llm.fingerprints import compared, with_neighbours
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.rans import encode_files, read_documents
@@ -33,3 +35,15 @@ def op3_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_neighbours(read_table(spark, sf_dir, "documents"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
+    return compared(rows, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")}).drop("next_fingerprint")
