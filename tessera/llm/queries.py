@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import compared, with_neighbours
+from tessera.llm.language import held_out, identify, learn
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import judged
 from tessera.llm.rans import encode_files, read_documents
 from tessera.llm.repeats import remove_repeats
+from tessera.llm.urls import url_verdicts
 from tessera.plans.shared import materialize
 
+#: The rules of the url query: (host, path, action).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
@@ -47,3 +53,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_neighbours(read_table(spark, sf_dir, "documents"))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
     return compared(rows, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")}).drop("next_fingerprint")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    prototypes = [(r["lang"], list(r["vector"])) for r in learn(docs.where(~out)).collect()]
+    return identify(docs, prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(read_table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
