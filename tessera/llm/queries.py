@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, toxicity
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import compared, with_neighbours
 from tessera.llm.language import held_out, identify, learn
@@ -68,3 +68,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(toxicity.training_part(F.col("doc_id"))))
+    rows = toxicity.scored(docs, model).select("row.doc_id", "score")
+    return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def queries():
+    import corpus_pipeline
+
+    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
