@@ -266,11 +266,12 @@ def cut_spans(group: Group, marks: pa.Table, found: pa.Table) -> Iterator[tuple[
         yield sha, k, text, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 18) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 18, as_text: bool = False) -> DataFrame:
     """(sha, k, n_bytes, spans, kept) of every distinct text of ``docs`` (k, text).
 
     k is the smallest id of the text, spans its removed byte ranges, kept the
-    remaining bytes. Null texts count as empty.
+    remaining bytes, or with ``as_text`` the characters that are whole in them.
+    Null texts count as empty.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-total // group_bytes)), max(1, -(-total // bucket_bytes))
@@ -323,7 +324,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_byte
     found = packed.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(send_runs, runs_t).groupBy("bucket").applyInArrow(lambda t: batches_of(found_t.names, found_a, judge(t, length, batch)), found_t)
 
     told = marks.select("grp", "bucket", "bits", F.lit(None).cast("binary").alias("found")).unionByName(found.select("grp", "bucket", F.lit(None).cast("binary").alias("bits"), "found"))
-    out_t, out_a = arrow("sha binary, k long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out_t, out_a = arrow("sha binary, k long, n_bytes long, spans array<struct<start:long,end:long>>, kept " + ("string" if as_text else "binary"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -333,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_byte
         for sha, k, text, spans in cut_spans(Group(left, length, gram, buckets), right.filter(has), right.filter(pa.compute.invert(has))):
             ends = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-            rows.append((sha, k, len(text), [{"start": a, "end": b} for a, b in spans], kept))
+            rows.append((sha, k, len(text), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if as_text else kept))
         return batches_of(out_t.names, out_a, rows)
 
     return packed.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(cut, out_t)
