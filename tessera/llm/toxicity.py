@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are learned from labelled documents: one trained
 on ordinary text, and one that puts before it what sets toxic documents
-apart, the spans of words whose 5-byte grams stand in far more toxic than
-ordinary documents. Every window of a text is compressed with both; what the
+apart, words and spans of words that stand in far more toxic than ordinary
+documents. Every window of a text is compressed with both; what the
 toxic dictionary saves is evidence. The largest saving of a text's windows,
 the numbers of windows over several savings and the text's length go into a
 logistic model, fitted on labelled documents that gave nothing to its
@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 from tessera.llm.common import keyed, slices
 
 WINDOW, STEP, GRAM, LEVEL = 80, 56, 5, 9
+EDGE = b".,;:!?#*$%&|<>()[]'-" + b'"'
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class Bounds:
     toxic: int = 1600
     ordinary: int = 4000
     chars: int = 200_000
-    toxic_bytes: int = 4096
+    toxic_bytes: int = 8192
     ordinary_bytes: int = 32 << 10
 
 
@@ -53,30 +54,32 @@ def plain(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def grams(data: bytes) -> set[bytes]:
-    out: set[bytes] = set()
-    for w in set(data.split()):
-        w = b" " + w + b" "
-        out.update(w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1)))
-    return out
+def words(data: bytes) -> set[bytes]:
+    """Distinct words without punctuation at their ends, a space on each side."""
+    return {b" " + w.strip(EDGE) + b" " for w in set(data.split())} - {b"  "}
+
+
+def grams(word: bytes) -> list[bytes]:
+    return [word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))]
 
 
 def toxic_spans(toxic: list[bytes], ordinary: list[bytes], size: int) -> bytes:
-    """Spans of toxic documents' words that ordinary ones hardly have, the most frequent last."""
+    """Words, or spans of words, of toxic documents that ordinary ones hardly have, the most frequent last."""
     t, o = Counter(), Counter()
-    for d in toxic:
-        t.update(grams(d))
-    for d in ordinary:
-        o.update(grams(d))
+    for count, docs in ((t, toxic), (o, ordinary)):
+        for d in docs:
+            own = words(d)
+            count.update(own | {g for w in own for g in grams(w)})
     least = max(3, round(0.003 * len(toxic)))
-    apart = {g for g, n in t.items() if n >= least and n * len(ordinary) >= 15 * (o[g] + 0.5) * len(toxic)}
+    apart = {g for g, n in t.items() if n >= least and n * len(ordinary) >= 12 * (o[g] + 0.5) * len(toxic)}
     spans = Counter()
     for d in toxic:
         own = set()
-        for w in d.split():
-            w = b" " + w + b" "
-            at = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in apart]
-            if at:
+        for w in words(d):
+            at = [i for i, g in enumerate(grams(w)) if g in apart]
+            if w in apart:
+                own.add(w)
+            elif at:
                 own.add(w[at[0] : at[-1] + GRAM])
         spans.update(own)
     kept = [s for s, n in sorted(spans.items(), key=lambda x: (x[1], x[0])) if n >= least]
