@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 #: White space other than the four characters the cut knows, on which the
 #: libraries' ideas of a space differ.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
+_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class Encoder:
