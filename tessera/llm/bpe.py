@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ _PLAIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _KNOWN = re.compile(rf"[\x00-\x08\x0e-\x1b\x21-\x7f {_PLAIN}\t\n\r]*")
 _CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_PLAIN}]+| ?[0-9]+| ?[^ \t\n\r0-9{_PLAIN}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 _CHUNK = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,7 +46,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class TrieEncoder:
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -58,8 +59,8 @@ class TrieEncoder:
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
         raw = {t: bytes(self.letters[c] for c in t) for t in vocab}
         self.ids = {raw[t]: i for t, i in vocab.items()}
-        self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.specials.items()}
         self.longest = max(map(len, self.ids))
+        self.size = {i: len(b) for b, i in self.ids.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
         self.parts = {}
@@ -87,7 +88,7 @@ class TrieEncoder:
         key = a << 32 | b
         got = self.beside.get(key)
         if got is None:
-            if len(self.beside) > 4 * self.limit:
+            if len(self.beside) > 3 * self.limit:
                 self.beside.clear()
             rank, got = self.rank, True
             for x, x_end in self._edge(a, 1):
@@ -103,9 +104,8 @@ class TrieEncoder:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of distinct pre-tokens, by one walk over their trie."""
-        out, ids, fits, longest = {}, self.ids, self.fits, self.longest
+        out, find, known, fits, longest, size = {}, self.ids.get, self.beside.get, self.fits, self.longest, self.size
         path, last = b"", [-1]  # last[i]: last token of the first i bytes
-        size = {}
         for w in sorted(words):
             same = 0
             for x, y in zip(path, w, strict=False):
@@ -114,14 +114,17 @@ class TrieEncoder:
                 same += 1
             del last[same + 1 :]
             for i in range(same + 1, len(w) + 1):
-                for at in range(max(0, i - longest), i):
-                    t = ids.get(w[at:i])
-                    if t is not None and (fits(last[at], t) if at else self.alone(t)):
-                        last.append(t)
-                        size[t] = i - at
-                        break
-                else:
-                    raise ValueError("a byte without a token")
+                # one token fits, so any order finds it: first the last one with a byte more, then short ones
+                grown = i - 1 - size[last[i - 1]] if i > 1 else 0
+                t = find(w[grown:i])
+                if t is None or not ((known(last[grown] << 32 | t) or fits(last[grown], t)) if grown else self.alone(t)):
+                    for at in range(i - 1, max(-1, i - 1 - longest), -1):
+                        t = find(w[at:i])
+                        if t is not None and at != grown and ((known(last[at] << 32 | t) or fits(last[at], t)) if at else self.alone(t)):
+                            break
+                    else:
+                        raise ValueError("a byte without a token")
+                last.append(t)
             path, got, i = w, [], len(w)
             while i:
                 t = last[i]
@@ -161,25 +164,41 @@ class TrieEncoder:
         if len(self.words) > self.limit:
             self.words.clear()
         cut: list[list] = []
+        whole: set[str] = set()  # pieces that are pre-tokens already
         for t in texts:
             pieces: list = []
             for part in self.special.split(t or "") if self.special else [t or ""]:
                 if part in self.specials:
                     pieces.append(self.specials[part])
+                elif _KNOWN.fullmatch(part):
+                    found = _CUT.findall(part)
+                    whole.update(found)
+                    pieces.extend(found)
                 elif part:
                     pieces.extend([part] if _ODD.search(part) else _CHUNK.findall(part))
             cut.append(pieces)
         new = {p for ps in cut for p in ps if p not in self.words}
-        split = {p: self.pre_tokens(p) for p in new if isinstance(p, str)}
+        split = {p: [p.encode()] if p in whole else self.pre_tokens(p) for p in new if isinstance(p, str)}
         known = self.encode_words(list({w for ws in split.values() for w in ws}))
         for p, ws in split.items():
-            self.words[p] = np.array([i for w in ws for i in known[w]], np.int32).tobytes()
+            self.words[p] = array("i", known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]).tobytes()
         for p in new:
             if isinstance(p, int):
                 self.words[p] = np.int32(p).tobytes()
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, ps)), np.int32) for ps in cut]
 
+
+class Decoder:
+    """Ids back to text, by the vocabulary alone."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = byte_letters()
+        self.bytes = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        self.bytes |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -217,10 +236,15 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = trie_encoder(tokenizer)
+        decoder = Decoder(tokenizer)
         for b in batches:
             for part in slices(b, 500):
-                texts = [None if x is None else enc.decode(x) for x in part["ids"].to_pylist()]
+                lists = part["ids"]
+                flat, at = lists.flatten().to_numpy(), 0
+                texts: list[str | None] = []
+                for n in lists.value_lengths().to_pylist():
+                    texts.append(None if n is None else decoder.decode(flat[at : at + n].tolist()))
+                    at += n or 0
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(texts, pa.string())], schema=arrow)
 
     return rows.select("doc_id", F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, schema)

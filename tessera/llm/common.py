@@ -20,8 +20,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sees to it that the session sends Python at most 1000 rows or about 8 MB
+    at once: texts are long, and a batch is held several times over."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10000):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Only (k, text): extra columns go, whatever their names; null ids get NULL_KEY."""
+    small_batches(docs)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), F.col("text").cast("string").alias("text"))
 
 
@@ -32,7 +43,7 @@ def unkeyed(k: str = "k") -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept while the worker lives, bounded."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import WordHashes, shingles, slices
+from tessera.llm.common import WordHashes, shingles, slices, small_batches
 from tessera.plans.shared import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +35,8 @@ RATIOS: dict[str, tuple[str, str, float, bool]] = {
     "dup_lines": ("n_dup_lines", "n_lines", 0.3, False),
     "repeats": ("n_repeat_words", "n_words", 0.3, False),
 }
+#: Languages times sources up to which their thresholds are broadcast; more are joined by shuffle.
+MOST_GROUPS = 10_000
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -60,7 +62,7 @@ def measure(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int, i
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``row`` beside the MEASURES of its text."""
     text = F.col("text").cast("string").alias("text")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text)
+    rows = small_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text)
     schema = StructType([rows.schema["row"], *StructType.fromDDL(MEASURES).fields])
     arrow = to_arrow_schema(schema)
 
@@ -118,15 +120,18 @@ def thresholds(rows: DataFrame, gamma: float = 1.01, width: float = 3.0, least_r
 def judged(docs: DataFrame, least_words: int = 50, most_repeats: float = 0.5, **how) -> DataFrame:
     """Every row as ``row`` with its measures, ``base_failed`` and ``kept``.
 
-    ``docs`` needs text, lang and source; other columns pass unread. A null
+    The documents are measured twice, once for the sketches and once for the
+    verdicts, rather than written with their texts in between. ``docs`` needs text, lang and source; other columns pass unread. A null
     text has no words. Null languages and sources are groups of their own.
     An empty table gives an empty result.
     """
-    rows = materialize(measured(docs), "measured")
+    rows = measured(docs)
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     seen = rows.where("not base_failed").select(F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), *[c for c in rows.columns if c != "row"])
-    limits = thresholds(seen, **how).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*[f"{r}_{x}" for r in RATIOS for x in ("low", "high")]).alias("limits"))
+    limits = materialize(thresholds(seen, **how), "thresholds").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*[f"{r}_{x}" for r in RATIOS for x in ("low", "high")]).alias("limits"))
+    if limits.count() <= MOST_GROUPS:
+        limits = F.broadcast(limits)
     j = rows.join(limits, F.col("row.lang").eqNullSafe(F.col("_l")) & F.col("row.source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     good = ~F.col("base_failed")
     for r, (_, _, _, two) in RATIOS.items():

@@ -23,7 +23,7 @@ _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 400_000, step: int = 1000) -> None:
+    def __init__(self, path: str, limit: int = 200_000, step: int = 1000) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import keyed, slices
+from tessera.llm.common import keyed, slices, small_batches
 
 WINDOW, STEP, GRAM, LEVEL = 80, 56, 5, 9
 EDGE = b".,;:!?#*$%&|<>()[]'-" + b'"'
@@ -175,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` as one struct column ``row`` beside its score. Null and empty texts get a score too."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL(f"{column} double").fields])
     arrow = to_arrow_schema(schema)
 
