@@ -1,10 +1,3 @@
 """Every query of the engine by name, with its SQL twin."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tessera.queries import ORACLES, QUERIES, consolidation, graphs, history, ingest, retrieval  # noqa: F401
