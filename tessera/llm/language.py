@@ -98,7 +98,7 @@ def learn(docs: DataFrame, languages: int = 1000, **how) -> DataFrame:
 class Classifier:
     def __init__(self, prototypes: list[tuple[str, list[float]]], **how) -> None:
         self.p, self.langs = Profiles(**how), [lang for lang, _ in prototypes]
-        m = np.array([v for _, v in prototypes]).reshape(len(prototypes), -1)
+        m = np.array([v for _, v in prototypes]).reshape(len(prototypes), self.p.size)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         self.mean = m.mean(axis=0) if len(m) > 1 else np.zeros(self.p.size)
         m = m - self.mean
