@@ -37,7 +37,8 @@ def _scores_sql(head: str, n: int) -> str:
 
 def trigram_sql(text: str, docs: str = "memories") -> str:
     terms = trigram_terms(text)
-    count = lambda t: f"len(list_filter(range(1, greatest(length(content) - {len(t) - 2}, 1)), lambda i: substr(lower(content), i, {len(t)}) = '{t}'))"
+    # the terms used have no border, so no two places overlap and replacing counts them
+    count = lambda t: f"((length(content) - length(replace(lower(content), '{t}', ''))) // {len(t)})"
     return _scores_sql(f"c AS (SELECT id, greatest(length(content) - 2, 0) AS dl, {', '.join(f'{count(t)} AS f{i}' for i, t in enumerate(terms))} FROM {docs})", len(terms))
 
 
