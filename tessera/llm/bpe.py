@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from tessera.llm.common import keyed, slices, unkeyed
+from tessera.llm.tokens import Kept
 
 _PLAIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words of these characters are cut here; others by the library's own pre-tokenizer.
@@ -68,8 +69,7 @@ class TrieEncoder:
             self.parts.setdefault(vocab[a + b], (r, vocab[a], vocab[b]))
         self.spine: tuple[dict, dict] = ({}, {})
         self.beside: dict[int, bool] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.limit = limit
+        self.words, self.limit = Kept(limit), limit
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def _edge(self, t: int, side: int) -> list[tuple[int, float]]:
@@ -161,8 +161,6 @@ class TrieEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; a null text has none. A special token's string is its id."""
-        if len(self.words) > self.limit:
-            self.words.clear()
         cut: list[list] = []
         whole: set[str] = set()  # pieces that are pre-tokens already
         for t in texts:
@@ -177,15 +175,19 @@ class TrieEncoder:
                 elif part:
                     pieces.extend([part] if _ODD.search(part) else _CHUNK.findall(part))
             cut.append(pieces)
-        new = {p for ps in cut for p in ps if p not in self.words}
+        met: set = set()
+        for ps in cut:
+            met.update(ps)
+        new = self.words.missing(met)
+        kept = self.words.young
         split = {p: [p.encode()] if p in whole else self.pre_tokens(p) for p in new if isinstance(p, str)}
         known = self.encode_words(list({w for ws in split.values() for w in ws}))
         for p, ws in split.items():
-            self.words[p] = array("i", known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]).tobytes()
+            kept[p] = array("i", known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]).tobytes()
         for p in new:
             if isinstance(p, int):
-                self.words[p] = np.int32(p).tobytes()
-        get = self.words.__getitem__
+                kept[p] = np.int32(p).tobytes()
+        get = kept.__getitem__
         return [np.frombuffer(b"".join(map(get, ps)), np.int32) for ps in cut]
 
 

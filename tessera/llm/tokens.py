@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -20,17 +21,42 @@ from tokenizers import Tokenizer
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
+#: A run of these after a letter or digit is a pre-token of its own.
+_MARKS = ".,;:!?"
+
+
+class Kept:
+    """A bounded map in two generations: what a batch uses moves to the young
+    one; when that is full it turns old, and what was not used since goes."""
+
+    def __init__(self, limit: int) -> None:
+        self.half, self.young, self.old = limit // 2, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """``take`` for a new batch."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        return self.take(keys)
+
+    def take(self, keys: set) -> list:
+        """Takes over what is known of a batch's keys; returns the rest, to be put into ``young``."""
+        young, old = self.young, self.old
+        absent = [k for k in keys if k not in young]
+        young.update((k, old[k]) for k in absent if k in old)
+        return [k for k in absent if k not in young] if old else absent
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 200_000, step: int = 1000) -> None:
+    def __init__(self, path: str, limit: int = 300_000, step: int = 1000) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         spec = json.loads(self.tok.to_str())
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.limit, self.step = limit, step
-        self.cache: dict[str, bytes] = {}
+        self.step = step
+        self.cache = Kept(limit)
         self.kind = self._kind(spec)
         self.cut = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+" if self.kind == "spaced" else r"[^ \t\n\r]+").findall
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)").search
@@ -52,42 +78,58 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
+        """Encodes words that are met for the first time. Marks at a word's end
+        are looked up apart, so a word is encoded once for all marks after it."""
+        young, whole, ends = self.cache.young, [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core[-1:].isalnum():
+                ends.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        whole.extend(self.cache.take({x for _, *parts in ends for x in parts} - set(whole)))
+        self._encode(whole, young)
+        young.update((w, young[core] + young[marks]) for w, core, marks in ends)
+
+    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
         sep, sep_id = next(iter(self.specials.items()))
-        plain = []
+        plain, model = [], self.tok.model.tokenize
         for w in words:
-            if self.special(w):
-                self.cache[w] = self._whole(w)
+            if w.isascii() and w[w[0] == " " :].isalpha():  # one pre-token, whose bytes stand for themselves but for the space
+                into[w] = array("I", [x.id for x in model("\u0120" + w[1:] if w[0] == " " else w)]).tobytes()
+            elif self.special(w):
+                into[w] = self._whole(w)
             else:
                 plain.append(w)
         if self.kind == "spaced":  # a line feed between two words is a token of its own
-            blank = [w for w in plain if not w.strip(" \t\n\r")]
-            self.cache.update((w, self._whole(w)) for w in blank)
-            plain, sep = [w for w in plain if w.strip(" \t\n\r")], "\n"
+            blank = [w for w in plain if w.isspace()]
+            into.update((w, self._whole(w)) for w in blank)
+            plain, sep = [w for w in plain if not w.isspace()] if blank else plain, "\n"
             sep_id = int(np.frombuffer(self._whole(sep), "<u4")[0])
         groups = [plain[i : i + self.step] for i in range(0, len(plain), self.step)]
         for group, got in zip(groups, self.tok.encode_batch_fast([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(ids == sep_id)
             raw, starts, ends = ids.tobytes(), [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(ids) * 4]
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
+            into.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """A null text is empty."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
         cut, out = [], []
         for t in texts:
             t = t or ""
+            if self.kind == "spaceless":  # which lower-cases anyway; here A-Z only
+                t = t.encode("utf-8", "replace").lower().decode()
             odd = self.kind == "whole" or (self.special(t) or (not t.isascii() or "\x0b" in t or "\x0c" in t or re.search("[\x1c-\x1f]", t)) and _OTHER_SPACE.search(t))
             cut.append(None if odd else self.cut(t))
         new: set[str] = set()
         for words in cut:
             if words:
                 new.update(words)
-        self._learn([w for w in new if w not in self.cache])
-        get = self.cache.__getitem__
+        self._learn(self.cache.missing(new))
+        get = self.cache.young.__getitem__
         for t, words in zip(texts, cut, strict=True):
-            out.append(self._whole(t) if words is None else b"".join(map(get, words)))
+            out.append(self._whole(t or "") if words is None else b"".join(map(get, words)))
         return out
 
 
