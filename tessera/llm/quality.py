@@ -6,9 +6,13 @@ error ``gamma`` - 1), one per language, source and measure. A sketch is plain
 rows, so partial sketches of one key are added up before the shuffle and
 merged sketches of a language, or of all, are sums of its sources'. A
 document is held against fences read from the finest sketch with at least
-``least_rows`` documents: the upper one is p90 + width * (p90 - p50), and at
-least ``slack`` above the median; the lower one for the measures with two
-sides mirrors it from p10.
+``least_rows`` documents: the upper one is p50 + width * spread, and at least
+``slack`` above the median; the lower one for the measures with two sides
+mirrors it. The spread is the distance of the upper quartile from the median,
+but no more than twice that of the lower one, so junk on one side widens no
+fence until it is half of a group. Where more is worse only, a fence is no
+higher than the language's and that of all, so a source that is mostly junk
+does not excuse itself; word lengths differ by nature and have no such bound.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 #: Ratio: (numerator, denominator, least distance of a fence from the median, two-sided).
 RATIOS: dict[str, tuple[str, str, float, bool]] = {
-    "word_length": ("word_chars", "n_words", 3.0, True),
-    "symbols": ("n_symbols", "n_words", 0.1, False),
+    "word_length": ("word_chars", "n_words", 0.5, True),
+    "symbols": ("n_symbols", "n_words", 0.02, False),
     "dup_lines": ("n_dup_lines", "n_lines", 0.3, False),
     "repeats": ("n_repeat_words", "n_words", 0.3, False),
 }
@@ -100,19 +104,27 @@ def quantiles(sketch: DataFrame, keys: list[str], gamma: float, at: tuple[float,
     return run.groupBy(*keys, "name").agg(F.max("rows").alias("rows"), *qs)
 
 
-def thresholds(rows: DataFrame, gamma: float = 1.01, width: float = 3.0, least_rows: int = 200) -> DataFrame:
+def fences(q: str, width: float, slack: Column) -> tuple[Column, Column]:
+    """The lower and the upper fence from the quartiles of the struct ``q``."""
+    mid = F.col(f"{q}.q1")
+    down, up = mid - F.col(f"{q}.q0"), F.col(f"{q}.q2") - mid
+    return mid - F.greatest(width * F.least(down, 2 * up), slack), mid + F.greatest(width * F.least(up, 2 * down), slack)
+
+
+def thresholds(rows: DataFrame, gamma: float = 1.01, width: float = 10.0, least_rows: int = 200) -> DataFrame:
     """(lang, source, then per ratio ``name_low`` and ``name_high``) for every language and source in ``rows``."""
     sketch = materialize(sketches(rows, gamma), "sketches")
-    at = (0.1, 0.5, 0.9)
+    at = (0.25, 0.5, 0.75)
     fine, mid, whole = (quantiles(sketch, keys, gamma, at) for keys in (["lang", "source"], ["lang"], []))
     pick = lambda d, p: d.select(*[c for c in d.columns if c in ("lang", "source")], "name", F.struct("rows", "q0", "q1", "q2").alias(p))
     f, m, a = pick(fine, "f"), pick(mid, "m").withColumnRenamed("lang", "l2").withColumnRenamed("name", "n2"), pick(whole, "a").withColumnRenamed("name", "n3")
     j = f.join(m, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("name") == F.col("n2"))).join(a, F.col("name") == F.col("n3"))
     q = F.when(F.col("f.rows") >= least_rows, F.col("f")).when(F.col("m.rows") >= least_rows, F.col("m")).otherwise(F.col("a"))
-    j = j.select("lang", "source", "name", q.alias("q"))
-    slack = F.coalesce(*[F.when(F.col("name") == r, F.lit(v[2])) for r, v in RATIOS.items()])
-    high = F.greatest(F.col("q.q2") + width * (F.col("q.q2") - F.col("q.q1")), F.col("q.q1") + slack)
-    low = F.least(F.col("q.q0") - width * (F.col("q.q1") - F.col("q.q0")), F.col("q.q1") - slack)
+    j = j.select("lang", "source", "name", "m", "a", q.alias("q"))
+    slack, two = (F.coalesce(*[F.when(F.col("name") == r, F.lit(v[i])) for r, v in RATIOS.items()]) for i in (2, 3))
+    low, own = fences("q", width, slack)
+    mid_high = F.when(F.col("m.rows") >= least_rows, fences("m", width, slack)[1])
+    high = F.when(two, own).otherwise(F.least(own, mid_high, fences("a", width, slack)[1]))  # least passes nulls over
     cols = [x for r in RATIOS for x in (F.max(F.when(F.col("name") == r, low)).alias(f"{r}_low"), F.max(F.when(F.col("name") == r, high)).alias(f"{r}_high"))]
     return j.groupBy("lang", "source").agg(*cols)
 

@@ -289,3 +289,22 @@ def test_pipeline_stages(spark, docs):
     assert zlib.crc32(b"") == 0
     got = C.run(spark, SF)
     assert got.count() > 0
+
+
+def test_quality_fences_stand_junk(spark):
+    """A fifth or more of a source, most of another, do not excuse themselves."""
+    prose = [" ".join(f"w{i:04}x{j:02}" for j in range(60)) for i in range(1200)]
+    lines = lambda t: "\n".join([*t.split()[:10], *["samesame linelin1 moremor2"] * 15, *t.split()[10:]])
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(prose)]
+    for source, share in (("s1", 5), ("s2", 0)):  # 20 % of s1, all but 20 % of s2
+        own = [r for r in rows if r[3] == source]
+        for n, (i, t, lang, s) in enumerate(own):
+            if n % 5 == 0 if share else n % 5:
+                rows[i] = (i, t.replace(" ", " $$$$$$$$ ", 40) if n % 10 else lines(t), lang, s)
+    plain = {r[0] for r in rows if r[1] == prose[r[0]]}
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.row.doc_id for r in got if r.kept} == plain
+    # a language of longer words keeps its own lengths
+    long = [(i, t if i % 2 else t.replace("x", "xyzuvwxyz"), "en" if i % 2 else "fi", "s") for i, t in enumerate(prose)]
+    assert all(r.kept for r in quality.judged(spark.createDataFrame(long, "doc_id long, text string, lang string, source string")).collect())
