@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
 from tessera.llm.common import NULL_KEY, keyed, read_table
-from tessera.llm.minhash import near_duplicates
+from tessera.llm.minhash import least_rows
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import filter_quality
 from tessera.llm.repeats import repeated_spans
@@ -33,15 +33,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id.
 
-    A repeated row of a doc_id counts as a copy; of several rows with one
-    doc_id the one with the first text in order stays. A null doc_id is a
-    document like others.
+    A repeated row of a doc_id counts as a copy; another text under the same
+    doc_id does not. A null doc_id is a document like others.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    names = rows.columns
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row"))
-    return first.select("row.*")
+    return least_rows(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list], list[list]]], columns: tuple[str, str] = ("k", "text")) -> DataFrame:
-    """mapInArrow over two columns. ``make()`` runs once a task and gives a
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[list]]], columns: tuple[str, ...] = ("k", "text")) -> DataFrame:
+    """mapInArrow over ``columns``. ``make()`` runs once a task and gives a
     function from the columns' lists to the output columns."""
     out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)

@@ -308,3 +308,22 @@ def test_quality_fences_stand_junk(spark):
     # a language of longer words keeps its own lengths
     long = [(i, t if i % 2 else t.replace("x", "xyzuvwxyz"), "en" if i % 2 else "fi", "s") for i, t in enumerate(prose)]
     assert all(r.kept for r in quality.judged(spark.createDataFrame(long, "doc_id long, text string, lang string, source string")).collect())
+
+
+def test_near_duplicates_null_and_repeated_ids(spark):
+    """Texts that share a null or repeated doc_id are documents of their own."""
+    import corpus_pipeline as C
+
+    t = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    near = [x + " end" for x in t]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (7, near[0]), (8, near[1]), (None, None), (None, None), (3, t[2]), (3, t[3]), (3, t[3]), (9, near[3]), (1, t[4]), (1, near[4]), (4, near[5]), (5, t[5]), (6, None), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[7].component_id is None and by[8].component_id is None and not by[7].kept and not by[8].kept
+    assert by[9].component_id == 3 and not by[9].kept and sum(r.kept for r in got if r.doc_id == 1) == 1
+    left = sorted(map(tuple, C.near_duplicate(spark, df, SF).collect()), key=str)
+    one = [r for r in left if r[0] == 1]
+    assert len(one) == 1 and one[0] in {(1, t[4]), (1, near[4])}
+    assert [r for r in left if r[0] != 1] == sorted([(None, t[0]), (None, t[1]), (None, None), (None, None), (3, t[2]), (3, t[3]), (4, near[5]), (6, None)], key=str)
