@@ -10,7 +10,6 @@ from tessera.operators.state import archive, upsert
 from tessera.plans.shared import materialize
 from tessera.queries import query
 from tessera.queries.graphs import LIVE_SQL, records
-from tessera.settings import Summaries
 from tessera.sources.tables import MEMORIES_SQL, NOW, memories, table
 
 _T = f"TIMESTAMP '{NOW}'"
@@ -80,7 +79,7 @@ def summary_jobs(spark, sf_dir):
 def summary_generation(spark, sf_dir):
     """Summaries by a stand-in summarizer: the number and total length of the contents it was given."""
     r = materialize(records(spark, sf_dir), "records")
-    chosen = C.concepts(r, Summaries(top_k=50))
+    chosen = C.concepts(r)
     old = spark.createDataFrame([], "concept string, summary_text string, memory_count long")
     return C.generate_summaries(C.concept_contents(r, chosen), old, lambda c, xs: f"{c}: {len(xs)} records, {sum(map(len, xs))} characters")
 

@@ -184,3 +184,9 @@ def test_listing(spark, tmp_path):
 def test_checks(spark):
     row = spark.createDataFrame([("", "fact", "user", 2.0, 1.0, 1.0)], "content string, category string, source string, confidence double, usefulness_score double, staleness_score double")
     assert {r.check for r in schema.violations(row, schema.MEMORY_CHECKS).collect() if r.rows} == {"content_length", "confidence"}
+
+
+def test_every_selected_concept_gets_a_summary(spark):
+    chosen = {r.concept: r.memory_count for r in catalog.QUERIES["concept_selection"](spark, SF).collect()}
+    got = catalog.QUERIES["summary_generation"](spark, SF).collect()
+    assert len(got) == len(chosen) > 50 and {r.concept: r.memory_count for r in got} == chosen
