@@ -68,10 +68,22 @@ def concept_strength(spark, sf_dir):
     return graph.concept_pairs(materialize(records(spark, sf_dir), "records"), CAP)
 
 
+@query()
+def co_occurrence_pairs_all(spark, sf_dir):
+    """All entities, however common; the SQL of co_occurrence_pairs is written for the cap."""
+    return graph.co_occurrence(graph.entity_rows(materialize(records(spark, sf_dir), "records")))
+
+
+@query()
+def concept_strength_all(spark, sf_dir):
+    """All entities, however common; the SQL of concept_strength is written for the cap."""
+    return graph.concept_pairs(materialize(records(spark, sf_dir), "records"))
+
+
 @query()
 def cap_per_node(spark, sf_dir):
     """At most three links a record, the best first."""
-    s = Links(df_cap=0.02, max_per_node=3)
+    s = Links(max_per_node=3)
     return graph.cap_per_node(materialize(graph.concept_pairs(materialize(records(spark, sf_dir), "records"), s), "pairs"), s)
 
 

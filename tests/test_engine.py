@@ -190,3 +190,19 @@ def test_every_selected_concept_gets_a_summary(spark):
     chosen = {r.concept: r.memory_count for r in catalog.QUERIES["concept_selection"](spark, SF).collect()}
     got = catalog.QUERIES["summary_generation"](spark, SF).collect()
     assert len(got) == len(chosen) > 50 and {r.concept: r.memory_count for r in got} == chosen
+
+
+def test_pair_queries_use_common_entities(spark):
+    from collections import Counter
+
+    from tessera.queries.graphs import records
+
+    live = {r.id: set(r.entity_ids) - set(Links().stoplist) for r in records(spark, SF).where("is_active and not is_archived").collect()}
+    want = {(a, b): (len(live[a] & live[b]), min(live[a] & live[b])) for a in live for b in live if a < b and live[a] & live[b]}
+    assert max(Counter(e for x in live.values() for e in x).values()) > 0.02 * len(live)  # the cap would bite
+    assert {(r.id1, r.id2): (r.shared, r.entity) for r in catalog.QUERIES["co_occurrence_pairs_all"](spark, SF).collect()} == want
+    got = {(r.id1, r.id2): r for r in catalog.QUERIES["concept_strength_all"](spark, SF).collect()}
+    assert set(got) == {k for k, v in want.items() if v[0] >= 2}
+    assert all(r.jaccard == round(r.shared / len(live[a] | live[b]), 6) for (a, b), r in got.items())
+    taken = {(r.id1, r.id2) for r in catalog.QUERIES["cap_per_node"](spark, SF).collect()}
+    assert taken == greedy([(a, b, r.shared, r.strength) for (a, b), r in got.items()], 3)
