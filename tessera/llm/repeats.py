@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,53 +40,128 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import keyed, mix, slices, unkeyed
+from tessera.llm.common import keyed, mix, slices, tidy, unkeyed
 
 #: Windows of a run at most: their answers fill one unsigned 64-bit number.
 RUN = 64
+#: Bytes of a suffix that a level keeps beside its place.
+HEAD = 16
+
+
+@dataclass
+class Level:
+    """A suffix array: ``at`` are places in ``buf`` whose ``length`` bytes are
+    distinct and ascend, ``head`` their first HEAD bytes, ``least`` the
+    smallest id each is seen under."""
+
+    buf: np.ndarray
+    at: np.ndarray
+    head: np.ndarray
+    least: np.ndarray
+
+
+def heads(buf: np.ndarray, at: np.ndarray, size: int = HEAD) -> np.ndarray:
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, size)[at]).view(f"S{size}").ravel()
+
+
+def order_of(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the places ``at``, as indices into it, and each one's
+    rank by its first ``length`` bytes, by doubling what is ranked."""
+    data = np.concatenate([buf, np.zeros(length, np.uint8)])
+    n = len(buf)
+    wide = min(8, length)
+    key = np.zeros(n, np.uint64)
+    for i in range(wide):
+        key = (key << np.uint64(8)) | data[i : i + n]
+    done = wide
+    while True:
+        last = done >= length
+        own = key[at] if last else key
+        order = np.argsort(own, kind="stable")
+        moved = np.empty(len(own), np.int64)
+        ordered = own[order]
+        moved[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if len(own) else 0
+        if last:
+            return order, moved
+        step = min(done, length - done)
+        rank = moved.astype(np.uint64)
+        after = np.zeros(n, np.uint64)
+        after[: n - step] = rank[step:]
+        key = (rank << np.uint64(32)) | after  # step < done where they overlap, which orders alike
+        done += step
 
 
 class SuffixFamily:
     """Suffix arrays in levels; levels merge geometrically.
 
-    A level is a sorted array of distinct ``length``-byte suffix prefixes with
-    the smallest id each is seen under. Batches come in ascending id order.
+    Batches come in ascending id order; any number may be added at any time.
     """
 
     def __init__(self, length: int) -> None:
-        self.dtype = f"S{length}"
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Index a batch; True where a suffix is known under a smaller id."""
-        order = np.argsort(suffixes, kind="stable")  # ids ascend, so the first of equals has the least
-        s, k = suffixes[order], ids[order]
-        head = np.ones(len(s), bool)
-        head[1:] = s[1:] != s[:-1]
-        first = np.flatnonzero(head)
-        least = k[first][np.cumsum(head) - 1]
-        known = least < k
-        heads, low = s[first], k[first].copy()
-        hit = np.zeros(len(heads), bool)
-        for level, at in self.levels:
-            i = np.minimum(np.searchsorted(level, heads), len(level) - 1)
-            same = level[i] == heads
-            low[same] = np.minimum(low[same], at[i[same]])
+        self.length, self.levels = length, []
+
+    def add(self, buf: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Index the suffixes of ``buf`` at ``at`` (ascending ids); True where one is known under a smaller id."""
+        if not len(at):
+            return np.zeros(0, bool)
+        order, rank = order_of(buf, at, self.length)
+        new = np.concatenate([[True], np.diff(rank[order]) > 0])
+        first = order[new]  # a stable order: the first of equals has the least id
+        low = ids[first].copy()
+        batch = Level(buf, at[first], heads(buf, at[first], min(HEAD, self.length)), low)
+        hit = np.zeros(len(first), bool)
+        for level in self.levels:
+            place, same = self.locate(level, batch)
+            low[same] = np.minimum(low[same], level.least[place[same]])
             hit |= same
-        known |= low[np.cumsum(head) - 1] < k
-        self._push(heads[~hit], low[~hit])
-        out = np.empty(len(s), bool)
-        out[order] = known
+        known = low[rank] < ids
+        self._push(Level(buf, batch.at[~hit], batch.head[~hit], low[~hit]))
+        return known
+
+    def locate(self, level: Level, batch: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Where each suffix of ``batch`` stands in ``level``, and whether it is there. Both are in order, so this scans them side by side."""
+        lo, hi = np.searchsorted(level.head, batch.head, "left"), np.searchsorted(level.head, batch.head, "right")
+        end, left = hi.copy(), np.flatnonzero(lo < hi)
+        if self.length > HEAD and len(left):
+            while len(left):
+                mid = (lo[left] + hi[left]) >> 1
+                less = self._compare(level, mid, batch, left) < 0
+                lo[left] = np.where(less, mid + 1, lo[left])
+                hi[left] = np.where(less, hi[left], mid)
+                left = left[lo[left] < hi[left]]
+            there = np.flatnonzero(lo < end)
+            same = np.zeros(len(lo), bool)
+            same[there] = self._compare(level, lo[there], batch, there) == 0
+            return lo, same
+        return lo, lo < end
+
+    def _compare(self, x: Level, i: np.ndarray, y: Level, j: np.ndarray) -> np.ndarray:
+        """The sign of each suffix of ``x`` against one of ``y``; their heads are equal."""
+        a, b, out = x.at[i], y.at[j], np.zeros(len(i), np.int8)
+        words = [np.ndarray(len(v.buf) - 7, ">u8", v.buf, strides=(1,)) for v in (x, y)]
+        open_, at = np.arange(len(i)), HEAD
+        while at < self.length and len(open_):
+            off = min(at, self.length - 8)  # the last word overlaps the one before
+            u, v = words[0][a[open_] + off].astype(np.uint64), words[1][b[open_] + off].astype(np.uint64)
+            out[open_] = (u > v).astype(np.int8) - (u < v).astype(np.int8)
+            open_, at = open_[u == v], at + 8
         return out
 
-    def _push(self, s: np.ndarray, k: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) <= len(s):
-            s2, k2 = self.levels.pop()
-            s, k = np.concatenate([s2, s]), np.concatenate([k2, k])
-            order = np.argsort(s, kind="stable")
-            s, k = s[order], k[order]
-        if len(s):
-            self.levels.append((s, k))
+    def _push(self, new: Level) -> None:
+        while self.levels and len(self.levels[-1].at) <= len(new.at):
+            old = self.levels.pop()
+            place, _ = self.locate(old, new)  # nothing of the new level stands in the old one
+            to = place + np.arange(len(place))
+            keep = np.ones(len(old.at) + len(to), bool)
+            keep[to] = False
+            merged = []
+            for x, y in ((old.at, new.at + len(old.buf)), (old.head, new.head), (old.least, new.least)):
+                z = np.empty(len(keep), x.dtype)
+                z[keep], z[to] = x, y
+                merged.append(z)
+            new = Level(np.concatenate([old.buf, new.buf]), *merged)
+        if len(new.at):
+            self.levels.append(new)
 
 
 def anchors(buf: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -105,43 +181,65 @@ def anchors(buf: np.ndarray, length: int, gram: int) -> np.ndarray:
     return h
 
 
-def runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenated bytes and per run: document, first window, windows, anchor."""
-    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    none = np.zeros(0, np.int64)
-    if len(buf) < length:
-        return buf, none, none, none, none.astype(np.uint64)
-    a = anchors(buf, length, gram)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[: len(a)]
-    at = np.arange(len(a), dtype=np.int64)
-    inside = at + length <= ends[doc]
-    at, a, doc = at[inside], a[inside], doc[inside]
-    if not len(at):
-        return buf, none, none, none, none.astype(np.uint64)
-    new = np.ones(len(at), bool)
-    new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-    start = np.flatnonzero(new)
-    since = np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))
-    start = np.flatnonzero(since % RUN == 0)
-    return buf, doc[start], at[start], np.diff(start, append=len(at)), a[start]
+def runs(texts: list[bytes], length: int, gram: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per run: text, first window (a place in the joined texts), windows, anchor.
+    Short texts are taken together and long ones in parts of ``step`` bytes, so few arrays of that size are held."""
+    out: list[tuple] = []
+
+    def take(parts: list[tuple[int, int, bytes]]) -> None:
+        buf = np.frombuffer(b"".join(p for *_, p in parts), np.uint8)
+        if len(buf) < length:
+            return
+        a = anchors(buf, length, gram)
+        sizes = np.array([len(p) for *_, p in parts])
+        ends = np.cumsum(sizes)
+        part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[: len(a)]
+        at = np.flatnonzero(np.arange(len(a)) + length <= ends[part])
+        if not len(at):
+            return
+        a, part = a[at], part[at]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])]))
+        since = np.arange(len(at)) - np.repeat(new, np.diff(new, append=len(at)))
+        start = np.flatnonzero(since % RUN == 0)
+        shift = np.array([base for _, base, _ in parts]) - (ends - sizes)
+        doc = np.array([d for d, *_ in parts])
+        own = part[start]
+        out.append((doc[own], at[start] + shift[own], np.diff(start, append=len(at)), a[start]))
+
+    held, size, base = [], 0, 0
+    for d, text in enumerate(texts):
+        for i in range(0, max(1, len(text) - length + 1), step):
+            piece = text[i : i + step + length - 1]
+            held.append((d, base + i, piece))
+            size += len(piece)
+            if size >= step:
+                take(held)
+                held, size = [], 0
+        base += len(text)
+    take(held)
+    kinds = (np.int64, np.int64, np.int64, np.uint64)
+    return tuple(np.concatenate([np.zeros(0, kind), *(x[i] for x in out)]).astype(kind) for i, kind in enumerate(kinds))
+
+
+def unpacked(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
+    """The distinct texts of a group, in ascending order of their least ids: digests, ids, texts."""
+    least: dict[bytes, int] = {}
+    blobs: dict[bytes, bytes] = {}
+    for sha, k, blob in zip(table["sha"].to_pylist(), table["k"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        least[sha] = min(k, least.get(sha, k))
+        blobs[sha] = blob
+    shas = sorted(least, key=lambda s: (least[s], s))
+    unpack = zstandard.ZstdDecompressor()
+    return shas, np.array([least[s] for s in shas], np.int64), [unpack.decompress(blobs[s]) for s in shas]
 
 
 class Group:
-    """The distinct texts of a group, in ascending order of their ids, and their runs."""
+    """The runs of a group's distinct texts."""
 
     def __init__(self, table: pa.Table, length: int, gram: int, buckets: int) -> None:
-        least: dict[bytes, int] = {}
-        packed: dict[bytes, bytes] = {}
-        for sha, k, blob in zip(table["sha"].to_pylist(), table["k"].to_pylist(), table["blob"].to_pylist(), strict=True):
-            least[sha] = min(k, least.get(sha, k))
-            packed[sha] = blob
-        self.shas = sorted(least, key=lambda s: (least[s], s))
-        self.ids = np.array([least[s] for s in self.shas], np.int64)
-        unpack = zstandard.ZstdDecompressor()
-        self.texts = [unpack.decompress(packed[s]) for s in self.shas]
+        self.shas, self.ids, self.texts = unpacked(table)
         self.length = length
-        self.buf, self.doc, self.at, self.windows, anchor = runs(self.texts, length, gram)
+        self.doc, self.at, self.windows, anchor = runs(self.texts, length, gram)
         self.values, self.of = np.unique(anchor, return_inverse=True)
         ids = self.ids[self.doc] if len(self.doc) else self.doc
         low, high = np.full(len(self.values), 2**63 - 1), np.full(len(self.values), -(2**63))
@@ -164,12 +262,26 @@ class Group:
         for bucket, part in self.by_bucket():
             if bucket in bits:
                 marked[part] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(part)).astype(bool)
-        whole, out = self.buf.tobytes(), {}
-        for r in np.flatnonzero(marked[self.of]).tolist() if len(self.of) else []:
-            s = whole[self.at[r] : self.at[r] + self.windows[r] + self.length - 1]
-            out.setdefault(int(self.bucket[self.of[r]]), {}).setdefault(s, []).append(r)
+        whole, out = b"".join(self.texts), {}
+        own = np.flatnonzero(marked[self.of]) if len(self.of) else np.zeros(0, np.int64)
+        starts = self.at[own]
+        ends = starts + self.windows[own] + self.length - 1
+        for r, bucket, a, b in zip(own.tolist(), self.bucket[self.of[own]].tolist() if len(own) else [], starts.tolist(), ends.tolist(), strict=True):
+            out.setdefault(bucket, {}).setdefault(whole[a:b], []).append(r)
         return {b: list(x.items()) for b, x in sorted(out.items())}
 
+    def sent(self, own: list[tuple[bytes, list[int]]], press: zstandard.ZstdCompressor) -> tuple[bytes, bytes, bytes, bytes]:
+        """What a bucket gets of distinct strings: their least ids, lengths and
+        bytes, and, to be given back, where they stand (``places``)."""
+        sizes = np.array([len(s) for s, _ in own], np.uint16)
+        counts = np.array([len(rs) for _, rs in own], np.int64)
+        flat = np.array([r for _, rs in own for r in rs], np.int64)
+        ids = self.ids[self.doc[flat]]
+        least = np.minimum.reduceat(ids, np.cumsum(counts) - counts)
+        later = np.packbits(ids > np.repeat(least, counts)).tobytes()
+        places = press.compress(np.concatenate([counts, self.at[flat]]).tobytes() + later)
+        return least.tobytes(), sizes.tobytes(), press.compress(b"".join(s for s, _ in own)), places
+
 
 def short(values: np.ndarray, buckets: int) -> bytes:
     """40 bits of each anchor beside its bucket. A bucket has about a million
@@ -206,15 +318,16 @@ def shared_anchors(table: pa.Table) -> list[tuple]:
 
 
 def judge(table: pa.Table, length: int, batch: int) -> list[tuple]:
-    """(grp, bucket, found): for every run a group sent, its windows known under a smaller id."""
+    """(grp, bucket, found, sizes, places): for every run a group sent, its windows known under a smaller id."""
     strings: dict[bytes, list] = {}  # -> smallest id, bits for it
     sent = []
-    for grp, bucket, ids, sizes, blob in zip(*(table[c].to_pylist() for c in ("grp", "bucket", "ids", "sizes", "blob")), strict=True):
-        data = zstandard.ZstdDecompressor().decompress(blob)
+    unpack = zstandard.ZstdDecompressor()
+    for grp, bucket, ids, sizes, blob, places in zip(*(table[c].to_pylist() for c in ("grp", "bucket", "ids", "sizes", "blob", "places")), strict=True):
+        data = unpack.decompress(blob)
         ends = np.cumsum(np.frombuffer(sizes, np.uint16).astype(np.int64)).tolist()
         own = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         ids = np.frombuffer(ids, np.int64).tolist()
-        sent.append((grp, bucket, ids, own))
+        sent.append((grp, bucket, ids, own, sizes, places))
         for s, k in zip(own, ids, strict=True):
             x = strings.get(s)
             if x is None:
@@ -230,9 +343,7 @@ def judge(table: pa.Table, length: int, batch: int) -> list[tuple]:
         n = lens - length + 1
         first = np.repeat(np.cumsum(lens) - lens, n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        view = np.lib.stride_tricks.sliding_window_view(buf, length)
-        suffixes = np.ascontiguousarray(view[first + within]).view(family.dtype).ravel()
-        known = family.add(suffixes, np.repeat(np.array([k for _, k in todo], np.int64), n))
+        known = family.add(buf, first + within, np.repeat(np.array([k for _, k in todo], np.int64), n))
         bits = np.bitwise_or.reduceat(known.astype(np.uint64) << within.astype(np.uint64), np.cumsum(n) - n)
         for (s, _), b in zip(todo, bits.tolist(), strict=True):
             strings[s][1] = b
@@ -246,39 +357,44 @@ def judge(table: pa.Table, length: int, batch: int) -> list[tuple]:
     if todo:
         flush()
     out = []
-    for grp, bucket, ids, own in sent:
+    for grp, bucket, ids, own, sizes, places in sent:
         found = np.fromiter(((strings[s][1] if strings[s][0] == k else 2**64 - 1) for s, k in zip(own, ids, strict=True)), np.uint64, len(own))
-        out.append((grp, bucket, found.tobytes()))
+        out.append((grp, bucket, found.tobytes(), sizes, places))
     return out
 
 
-def cut_spans(group: Group, marks: pa.Table, found: pa.Table) -> Iterator[tuple[bytes, int, bytes, list[tuple[int, int]]]]:
-    """(sha, id, text, removed spans) of every distinct text of the group."""
-    answers = dict(zip(found["bucket"].to_pylist(), found["found"].to_pylist(), strict=True))
-    gone = np.zeros(len(group.buf) + 1, np.int32)
-    for bucket, own in group.chosen(marks).items():
-        bits = np.frombuffer(answers[bucket], np.uint64)
-        for (_, rs), b in zip(own, bits, strict=True):
-            least = min(group.ids[group.doc[r]] for r in rs)
-            for r in rs:
-                n = int(group.windows[r])
-                if group.ids[group.doc[r]] > least:
-                    own_bits = np.ones(n, bool)
-                else:
-                    own_bits = ((b >> np.arange(n, dtype=np.uint64)) & np.uint64(1)).astype(bool)
-                at = int(group.at[r]) + np.flatnonzero(own_bits)
-                np.add.at(gone, at, 1)
-                np.subtract.at(gone, at + group.length, 1)
-    covered = np.cumsum(gone[:-1]) > 0
+def cut_spans(left: pa.Table, right: pa.Table, length: int, step: int = 50_000) -> Iterator[tuple[bytes, int, bytes, list[tuple[int, int]]]]:
+    """(sha, id, text, removed spans) of every distinct text of a group, from what its runs were told."""
+    shas, ids, texts = unpacked(left)
+    change = np.zeros(sum(map(len, texts)) + 1, np.int32)
+    unpack, bit = zstandard.ZstdDecompressor(), np.arange(RUN, dtype=np.uint64)
+    for found, sizes, places in zip(right["found"].to_pylist(), right["sizes"].to_pylist(), right["places"].to_pylist(), strict=True):
+        bits, windows = np.frombuffer(found, np.uint64), np.frombuffer(sizes, np.uint16).astype(np.int64) - length + 1
+        data = unpack.decompress(places)
+        counts = np.frombuffer(data, np.int64, len(bits))
+        at = np.frombuffer(data, np.int64, int(counts.sum()), 8 * len(bits))
+        later = np.unpackbits(np.frombuffer(data, np.uint8, offset=8 * (len(bits) + len(at))), count=len(at)).astype(bool)
+        bits, windows = np.repeat(bits, counts), np.repeat(windows, counts)
+        np.add.at(change, at[later], 1)  # a copy under a larger id goes whole
+        np.subtract.at(change, at[later] + windows[later] + length - 1, 1)
+        some = np.flatnonzero(~later & (bits > 0))
+        for i in range(0, len(some), step):
+            part = some[i : i + step]
+            gone = ((bits[part, None] >> bit) & np.uint64(1)).astype(bool) & (bit.astype(np.int64) < windows[part, None])
+            r, w = np.nonzero(gone)
+            start = at[part[r]] + w
+            np.add.at(change, start, 1)
+            np.subtract.at(change, start + length, 1)
+    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
     end = 0
-    for sha, k, text in zip(group.shas, group.ids.tolist(), group.texts, strict=True):
+    for sha, k, text in zip(shas, ids.tolist(), texts, strict=True):
         own = covered[end : end + len(text)]
         end += len(text)
-        edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
+        edge = np.flatnonzero(np.diff(own.view(np.int8), prepend=0, append=0))
         yield sha, k, text, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 18, as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 1 << 19, held_bytes: int = 16 << 20, as_text: bool = False) -> DataFrame:
     """(sha, k, n_bytes, spans, kept) of every distinct text of ``docs`` (k, text).
 
     k is the smallest id of the text, spans its removed byte ranges, kept the
@@ -296,17 +412,29 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_byte
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
+        least: dict[bytes, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(int.from_bytes(sha[:7], "big") % groups, sha, k, blob) for sha, (k, blob) in least.items()]
+            for i in range(0, len(rows), 1000):
+                yield from batches_of(packed_t.names, packed_a, rows[i : i + 1000]).to_batches()
+
         for b in batches:
-            least: dict[bytes, list] = {}
             for part in slices(b):
                 for k, text in zip(part["k"].to_pylist(), part["text"].to_pylist(), strict=True):
                     data = (text or "").encode("utf-8", "replace")
-                    x = least.setdefault(hashlib.sha256(data).digest(), [k, None])
+                    sha = hashlib.sha256(data).digest()
+                    x = least.get(sha)
+                    if x is None:
+                        x = least[sha] = [k, press.compress(data)]
+                        size += len(x[1]) + 100
                     x[0] = min(x[0], k)
-                    x[1] = x[1] or press.compress(data)
-            rows = [(int.from_bytes(sha[:7], "big") % groups, sha, k, blob) for sha, (k, blob) in least.items()]
-            for i in range(0, len(rows), 1000):
-                yield from batches_of(packed_t.names, packed_a, rows[i : i + 1000]).to_batches()
+            if size >= held_bytes:
+                yield from flush()
+                least, size = {}, 0
+        yield from flush()
+        tidy()
 
     packed = docs.mapInArrow(pack, packed_t)
 
@@ -315,41 +443,44 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_byte
     def send(table: pa.Table) -> pa.Table:
         g = Group(table, length, gram, buckets)
         grp = table["grp"][0].as_py()
+        tidy()
         return batches_of(sent_t.names, sent_a, [(grp, b, short(g.values[p], buckets), np.packbits(g.several[p]).tobytes()) for b, p in g.by_bucket()])
 
     marks_t, marks_a = arrow("grp long, bucket long, bits binary")
     marks = packed.groupBy("grp").applyInArrow(send, sent_t).groupBy("bucket").applyInArrow(lambda t: batches_of(marks_t.names, marks_a, shared_anchors(t)), marks_t)
 
-    runs_t, runs_a = arrow("grp long, bucket long, ids binary, sizes binary, blob binary")
+    runs_t, runs_a = arrow("grp long, bucket long, ids binary, sizes binary, blob binary, places binary")
 
     def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             g, grp, press = Group(left, length, gram, buckets), left["grp"][0].as_py(), zstandard.ZstdCompressor(level=1)
-            for bucket, own in g.chosen(right).items():
-                ids = np.array([min(g.ids[g.doc[r]] for r in rs) for _, rs in own], np.int64)
-                sizes = np.array([len(s) for s, _ in own], np.uint16)
-                rows.append((grp, bucket, ids.tobytes(), sizes.tobytes(), press.compress(b"".join(s for s, _ in own))))
+            rows = [(grp, bucket, *g.sent(own, press)) for bucket, own in g.chosen(right).items()]
+        tidy()
         return batches_of(runs_t.names, runs_a, rows)
 
-    found_t, found_a = arrow("grp long, bucket long, found binary")
-    found = packed.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(send_runs, runs_t).groupBy("bucket").applyInArrow(lambda t: batches_of(found_t.names, found_a, judge(t, length, batch)), found_t)
+    found_t, found_a = arrow("grp long, bucket long, found binary, sizes binary, places binary")
+
+    def told(table: pa.Table) -> pa.Table:
+        rows = judge(table, length, batch)
+        tidy()
+        return batches_of(found_t.names, found_a, rows)
 
-    told = marks.select("grp", "bucket", "bits", F.lit(None).cast("binary").alias("found")).unionByName(found.select("grp", "bucket", F.lit(None).cast("binary").alias("bits"), "found"))
+    found = packed.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(send_runs, runs_t).groupBy("bucket").applyInArrow(told, found_t)
     out_t, out_a = arrow("sha binary, k long, n_bytes long, spans array<struct<start:long,end:long>>, kept " + ("string" if as_text else "binary"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return batches_of(out_t.names, out_a, [])
-        has = right["bits"].is_valid()
         rows = []
-        for sha, k, text, spans in cut_spans(Group(left, length, gram, buckets), right.filter(has), right.filter(pa.compute.invert(has))):
+        for sha, k, text, spans in cut_spans(left, right, length):
             ends = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
             rows.append((sha, k, len(text), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if as_text else kept))
+        tidy()
         return batches_of(out_t.names, out_a, rows)
 
-    return packed.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(cut, out_t)
+    return packed.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(cut, out_t)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, **how) -> DataFrame:
