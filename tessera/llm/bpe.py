@@ -27,8 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from tessera.llm.common import keyed, slices, unkeyed
-from tessera.llm.tokens import Kept
+from tessera.llm.common import Kept, keyed, slices, unkeyed
 
 _PLAIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words of these characters are cut here; others by the library's own pre-tokenizer.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another libc keeps its own house
+    _libc = None
+
 #: Stands for a null doc_id inside the operators, so that it sorts first.
 NULL_KEY = -(2**63)
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers
+    live on, and what one operator needed must not add to what the next one does."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +69,27 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Kept:
+    """A bounded map in two generations: what a batch uses moves to the young
+    one; when that is full it turns old, and what was not used since goes."""
+
+    def __init__(self, limit: int) -> None:
+        self.half, self.young, self.old = limit // 2, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """``take`` for a new batch."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        return self.take(keys)
+
+    def take(self, keys: set) -> list:
+        """Takes over what is known of a batch's keys; returns the rest, to be put into ``young``."""
+        young, old = self.young, self.old
+        absent = [k for k in keys if k not in young]
+        young.update((k, old[k]) for k in absent if k in old)
+        return [k for k in absent if k not in young] if old else absent
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -87,6 +122,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[l
             for part in slices(b):
                 got = step(*(part.column(c).to_pylist() for c in columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True)], schema=arrow)
+        tidy()
 
     return df.mapInArrow(run, out)
 

@@ -174,7 +174,7 @@ def with_neighbours(docs: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), F.desc("text")).select("bucket", "guest", "k", "text")
+    dealt = rows.repartition(max(1, buckets.count), "bucket").sortWithinPartitions("bucket", "guest", F.desc("k"), F.desc("text")).select("bucket", "guest", "k", "text")
     return dealt.mapInArrow(run, schema).select(unkeyed(), "text", "edited", "fingerprint", "edited_fingerprint", "next_fingerprint")
 
 

@@ -1,52 +1,59 @@
-"""Rows in the order of their key, in buckets of about equal size."""
+"""Rows in the order of their key, in ranges of about equal size."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Ranges at most; inputs of more than that many targets get larger ranges, which are sorted with spilling.
+MOST_RANGES = 10_000
 
-def _lookup(values: list[int | None], at: Column) -> Column:
-    table = F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").cast("array<long>")
-    return F.get(table, at)
 
+def ranges(rows: DataFrame, target_bytes: int, most: int = MOST_RANGES) -> int:
+    """How many ranges of about ``target_bytes`` of text (k, text) makes."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(most, math.ceil(total / target_bytes)))
 
-class Buckets:
-    """Key ranges of about ``target_bytes`` of text.
 
-    The key's range is cut into equal cells, their bytes are counted over all
-    rows, and neighbouring cells are joined until they reach the target. The
-    driver holds one number a cell, at most ``cells``. A cell with many rows
-    stays whole; what runs over a bucket therefore streams.
+def sorted_ranges(rows: DataFrame, target_bytes: int) -> DataFrame:
+    """``rows`` (k, text) in partitions that ascend with k, sorted by it.
+
+    Rows of one key are told apart by a hash of their text, so a key with many
+    rows (null, say) may stretch over several partitions.
     """
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    return hashed.repartitionByRange(ranges(rows, target_bytes), "k", "h").sortWithinPartitions("k", "h").select("k", "text")
+
 
-    def __init__(self, rows: DataFrame, target_bytes: int, cells: int = 8192) -> None:
-        low, high, total = rows.where("k > -9223372036854775808").agg(F.min("k"), F.max("k"), F.sum(F.octet_length("text"))).first()
-        self.low, self.n = low or 0, 1
-        wanted = max(1, math.ceil((total or 0) / target_bytes))
-        span = (high or 0) - self.low + 1
-        self.n = max(1, min(cells, 16 * wanted, span))
-        self.width = -(-span // self.n)
-        self.map, bucket, size = [0] * self.n, 0, 0
-        if wanted > 1:
-            counts = rows.groupBy(self.cell().alias("c")).agg(F.sum(F.octet_length("text")).alias("b")).collect()
-            by = {r["c"]: r["b"] or 0 for r in counts}
-            for c in range(self.n):
-                if size and size + by.get(c, 0) > target_bytes:
-                    bucket, size = bucket + 1, 0
-                self.map[c] = bucket
-                size += by.get(c, 0)
-        self.count = bucket + 1
-
-    def cell(self) -> Column:
-        at = F.floor((F.col("k") - F.lit(self.low)) / F.lit(self.width)).cast("int")
-        return F.when(F.col("k") < self.low, F.lit(0)).otherwise(at)
+class Buckets:
+    """Key ranges with about as many rows each, cut at quantiles of the keys of
+    all rows, so outliers and gaps cost nothing. A key's rows stay together;
+    what runs over a bucket streams. Any 64-bit key will do."""
+
+    def __init__(self, rows: DataFrame, target_bytes: int) -> None:
+        n = ranges(rows, target_bytes)
+        self.bounds = np.zeros(0, np.int64)
+        if n > 1:
+            at = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n + 10_000)).first()[0] or []
+            self.bounds = np.unique(np.array(at, np.int64))
+        self.count = len(self.bounds) + 1
 
     def column(self) -> Column:
-        return _lookup(self.map, self.cell()) if self.count > 1 else F.lit(0).cast("long")
+        bounds = self.bounds
+        if not len(bounds):
+            return F.lit(0).cast("long")
+
+        @F.pandas_udf("long")
+        def bucket(k: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), "right"))
+
+        return bucket("k")
 
     def lookup(self, values: list[int | None]) -> Column:
         """A value of the row's bucket."""
-        return _lookup(values, F.col("bucket").cast("int"))
+        table = F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").cast("array<long>")
+        return F.get(table, F.col("bucket").cast("int"))

@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into sequences of equal capacity.
 
 A piece of n tokens costs linear*n + quadratic*n*n, the work of a transformer
-layer on it. Documents are dealt to groups by hash; a group cuts whole
+layer on it. Documents are packed in groups of neighbours; a group cuts whole
 capacities off its long documents, takes the remainders in descending order,
 and gives each to the sequence with the lowest cost that still has room. The
 group opens as many sequences as its remainders fill, so late remainders that
@@ -11,14 +11,17 @@ sequence a group needs padding.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import keyed, unkeyed
+from tessera.llm.common import keyed, slices, tidy, unkeyed
 from tessera.llm.tokens import encoder
 
 PIECES = "k long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -57,31 +60,53 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     ``tokenizer`` is the path of a tokenizers file. Every row of ``docs`` is a
     document: a null or empty text is its end id alone, repeated rows are
     packed as often as they come, a null doc_id comes back null. No rows give
-    no pieces. A group holds about ``group_bytes`` of text, whatever the input.
+    no pieces. Every partition of ``docs`` is packed where it lies, in groups
+    of about ``group_bytes`` of text, and pads one sequence a group; nothing
+    is shuffled, so no key or text can crowd a task. Partitions with less text
+    are taken together. A sequence's id tells its partition (upper bits) and
+    its place there.
     """
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
     schema = StructType.fromDDL(PIECES)
     arrow = to_arrow_schema(schema)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("text", "ascending")])
-        grp, enc, end, ids = table["grp"][0].as_py(), encoder(tokenizer), np.array([end_id], "<u4").tobytes(), []
-        for b in table.select(["text"]).to_batches(max_chunksize=500):
-            ids.extend(x + end for x in enc.encode_batch(b.column(0).to_pylist()))
-        ks = table["k"].to_pylist()
-        got = pack([len(x) // 4 for x in ids], capacity, linear, quadratic)
-        cols = [
-            [ks[d] for d, *_ in got],
-            [s for _, s, *_ in got],
-            [n for _, _, n, *_ in got],
-            [ids[d][4 * s : 4 * (s + n)] for d, s, n, *_ in got],
-            [len(ids[d]) // 4 for d, *_ in got],
-            [(grp << 32) + q for *_, q, _ in got],
-            [o for *_, o in got],
-        ]
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        first = TaskContext.get().partitionId() << 40
+        ks: list[int] = []
+        ids: list[bytes] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            lengths = [len(x) // 4 for x in ids]
+            got = pack(lengths, capacity, linear, quadratic)
+            for i in range(0, len(got), 5000):
+                part = got[i : i + 5000]
+                cols = [
+                    [ks[d] for d, *_ in part],
+                    [s for _, s, *_ in part],
+                    [n for _, _, n, *_ in part],
+                    [ids[d][4 * s : 4 * (s + n)] for d, s, n, *_ in part],
+                    [lengths[d] for d, *_ in part],
+                    [first + q for *_, q, _ in part],
+                    [o for *_, o in part],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            first += 1 + max(q for *_, q, _ in got)
+
+        for b in batches:
+            for part in slices(b, 500):
+                for k, text, got in zip(part["k"].to_pylist(), part["text"].to_pylist(), enc.encode_batch(part["text"].to_pylist()), strict=True):
+                    ks.append(k)
+                    ids.append(got + end)
+                    size += len(text or "")
+                    if size >= group_bytes:
+                        yield from flush()
+                        ks, ids, size = [], [], 0
+        if ks:
+            yield from flush()
+        tidy()
 
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("k"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(run, schema).select(unkeyed(), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    return rows.coalesce(max(1, -(-total // group_bytes))).mapInArrow(run, schema).select(unkeyed(), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")

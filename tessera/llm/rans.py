@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import keyed, slices, unkeyed
-from tessera.llm.ordered import Buckets
+from tessera.llm.common import keyed, slices, tidy, unkeyed
+from tessera.llm.ordered import sorted_ranges
 from tessera.llm.tokens import encoder
 
 HEAD = struct.Struct("<4sHHIIQQIII")
@@ -169,18 +170,18 @@ def encode_files(docs: DataFrame, tokenizer: str, end_id: int = 2, target_bytes:
 
     A bucket holds about ``target_bytes`` of text, a file about ``file_ids``
     ids (more only where one document has more). Null texts are empty, a null
-    doc_id comes first, repeated rows come as often as they were there.
+    doc_id comes first, rows of one doc_id stand in the order of a hash of
+    their text, repeated rows come as often as they were there. Any 64-bit
+    doc_id will do; an empty table gives no files.
     """
-    rows = keyed(docs)
-    buckets = Buckets(rows, target_bytes)
     schema = StructType.fromDDL(FILES)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end, bucket = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         ks: list[int] = []
         ids: list[bytes] = []
-        bucket, number, size = None, 0, 0
+        number, size = 0, 0
 
         def flush() -> pa.RecordBatch:
             row = [bucket, number, len(ks), size, write_file(ks, ids)]
@@ -188,28 +189,31 @@ def encode_files(docs: DataFrame, tokenizer: str, end_id: int = 2, target_bytes:
 
         for b in batches:
             for part in slices(b, 500):
-                for own, k, got in zip(part["bucket"].to_pylist(), part["k"].to_pylist(), enc.encode_batch(part["text"].to_pylist()), strict=True):
-                    if ks and (own != bucket or size >= file_ids):
+                for k, got in zip(part["k"].to_pylist(), enc.encode_batch(part["text"].to_pylist()), strict=True):
+                    if size >= file_ids:
                         yield flush()
-                        number, size, ks, ids = (number + 1 if own == bucket else 0), 0, [], []
-                    bucket = own
+                        number, size, ks, ids = number + 1, 0, [], []
                     ks.append(k)
                     ids.append(got + end)
                     size += len(got) // 4 + 1
         if ks:
             yield flush()
+        tidy()
 
-    sorted_rows = rows.withColumn("bucket", buckets.column()).repartition("bucket").sortWithinPartitions("bucket", "k", "text")
-    return sorted_rows.select("bucket", "k", "text").mapInArrow(run, schema)
+    return sorted_ranges(keyed(docs), target_bytes).mapInArrow(run, schema)
 
 
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every document; start counts the ids of all documents before it.
 
-    The window over all files has one short row a file.
+    Ids are counted within runs of 1024 buckets and over the runs, so the one
+    window without partitions has a short row for every 1024 buckets.
     """
-    before = Window.orderBy("bucket", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("bucket", "file", "ids").withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).drop("ids")
+    each = files.select("bucket", "file", "ids", F.floor(F.col("bucket") / 1024).alias("run"))
+    upto = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = each.withColumn("own", upto(Window.partitionBy("run").orderBy("bucket", "file"))).drop("ids")
+    runs = each.groupBy("run").agg(F.sum("ids").alias("ids")).withColumn("before", upto(Window.orderBy("run"))).drop("ids")
+    starts = own.join(runs, "run").select("bucket", "file", (F.col("own") + F.col("before")).alias("base"))
     schema = StructType.fromDDL("bucket long, file long, k long, at long, ids binary")
     arrow = to_arrow_schema(schema)
 

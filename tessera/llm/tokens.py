@@ -1,136 +1,120 @@
-"""Token ids by the tokenizers library, with words kept between texts.
-
-A text is cut where the tokenizer's own pre-tokenizer always cuts, at ASCII
-white space; a piece is encoded by the library when it is first met and looked
-up afterwards. Which cut is exact depends on the tokenizer, so it is read from
-its file; a tokenizer of another kind, or a text with something that the cut
-does not cover, is encoded whole.
+"""Token ids as the tokenizers library gives them, by a faster coder.
+
+The library spends most of its time on objects that nobody asks for. For two
+kinds of tokenizer the same ids come from tiktoken, whose merges follow the
+ranks that are read from the tokenizer's own file: byte-level BPE, and BPE
+with word ends over lower-cased words. There a word's end is one more byte,
+0x01, which the cheapest merges join to the byte before it. What these do not
+cover is encoded whole by the library: other kinds of tokenizer, texts with
+characters on whose class, case or form the libraries could differ, and very
+long runs without a boundary.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
-#: White space other than the four characters the cut knows, on which the
-#: libraries' ideas of a space differ.
-_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-
-
-#: A run of these after a letter or digit is a pre-token of its own.
-_MARKS = ".,;:!?"
-
+from tessera.llm.bpe import byte_letters
 
-class Kept:
-    """A bounded map in two generations: what a batch uses moves to the young
-    one; when that is full it turns old, and what was not used since goes."""
+#: Letters that all libraries lower-case alike and none composes (the dotted I and the apostrophe n go).
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏ"
+#: What the word-end coder covers: those letters, ASCII but for 0x01 and the rarer spaces, common signs.
+_COVERED = re.compile(rf"[\t\n\r\x00\x02-\x08\x0e-\x1b\x20-\x7f{_LETTERS}¡¿«»°§–—‘’“”…]*")
+#: Texts of these need no search for odd characters.
+_SAFE = re.compile(r"[\t\n\r\x00-\x08\x0e-\x1b\x20-\x7f¡-¬®-ɏ–—‘’“”…]*")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r0-9{_LETTERS}]+").findall
+#: On these white spaces, and on letters newer than its tables, a library may differ from another.
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|[^\x00-￿]")
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs from this length on go to the library, whose work on them does not grow with their square.
+LONG = 50_000
+_SPACES = re.compile(rf"\s{{{LONG}}}")
 
-    def __init__(self, limit: int) -> None:
-        self.half, self.young, self.old = limit // 2, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """``take`` for a new batch."""
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-        return self.take(keys)
-
-    def take(self, keys: set) -> list:
-        """Takes over what is known of a batch's keys; returns the rest, to be put into ``young``."""
-        young, old = self.young, self.old
-        absent = [k for k in keys if k not in young]
-        young.update((k, old[k]) for k in absent if k in old)
-        return [k for k in absent if k not in young] if old else absent
+def has_run(text: str) -> bool:
+    """Whether ``LONG`` characters in a row are white space, or none is."""
+    if len(text) < LONG:
+        return False
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) >= LONG or (len(text) - sum(sizes) - len(sizes) >= LONG - 2 and _SPACES.search(text) is not None)
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
+    """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 300_000, step: int = 1000) -> None:
+    def __init__(self, path: str) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         spec = json.loads(self.tok.to_str())
-        self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.step = step
-        self.cache = Kept(limit)
         self.kind = self._kind(spec)
-        self.cut = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+" if self.kind == "spaced" else r"[^ \t\n\r]+").findall
-        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)").search
+        specials = [x["content"] for x in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
+        self.coder = None
+        if self.kind:
+            ranks = self._ranks(spec)
+            if ranks:
+                pattern = _BYTE_LEVEL if self.kind == "bytes" else r"[^\x01]+\x01"
+                self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def _kind(spec: dict) -> str:
-        pre, plain = spec["pre_tokenizer"] or {}, spec["added_tokens"] and not any(x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"] for x in spec["added_tokens"])
-        if not plain or spec["model"].get("type") != "BPE":
-            return "whole"
-        if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
-            return "spaced"
-        first = (pre.get("pretokenizers") or [{}])[0]
-        known = {"NFC", "Replace", "Lowercase"}
-        if first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+") and {x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])} <= known:
-            return "spaceless"
-        return "whole"
+        """``bytes``, ``words`` or nothing."""
+        pre, model, forms = spec["pre_tokenizer"] or {}, spec["model"], spec["normalizer"] or {}
+        if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return ""
+        if any(x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"] for x in spec["added_tokens"]):
+            return ""
+        if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not forms and not model.get("end_of_word_suffix"):
+            return "bytes"
+        parts = pre.get("pretokenizers") or []
+        cut = len(parts) == 2 and parts[0].get("type") == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and parts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        level = cut and parts[1].get("type") == "ByteLevel" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+        steps = [x["type"] for x in forms.get("normalizers", [])]
+        return "words" if level and steps == ["NFC", "Replace", "Lowercase"] and model.get("end_of_word_suffix") else ""
+
+    def _ranks(self, spec: dict) -> dict[bytes, int] | None:
+        """Bytes to ids, if the order of ids is that of the merges and every token is the encoding of its own bytes."""
+        letters, end = byte_letters(), spec["model"].get("end_of_word_suffix") or ""
+        specials = {x["content"] for x in spec["added_tokens"]}
+        tokenize, out = self.tok.model.tokenize, {}
+        for token, i in spec["model"]["vocab"].items():
+            if token in specials:
+                continue
+            closed = bool(end) and token.endswith(end)
+            body = token[: -len(end)] if closed else token
+            if (closed or not end) and [x.id for x in tokenize(body)] != [i]:
+                return None
+            out[bytes(letters[c] for c in body) + (b"\x01" if closed else b"")] = i
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in pairs]
+        first = 256 * (2 if end else 1)
+        return out if made == sorted(made) and (not made or made[0] >= first) and len(set(out.values())) == len(out) else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words that are met for the first time. Marks at a word's end
-        are looked up apart, so a word is encoded once for all marks after it."""
-        young, whole, ends = self.cache.young, [], []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if len(core) < len(w) and core[-1:].isalnum():
-                ends.append((w, core, w[len(core) :]))
-            else:
-                whole.append(w)
-        whole.extend(self.cache.take({x for _, *parts in ends for x in parts} - set(whole)))
-        self._encode(whole, young)
-        young.update((w, young[core] + young[marks]) for w, core, marks in ends)
-
-    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
-        sep, sep_id = next(iter(self.specials.items()))
-        plain, model = [], self.tok.model.tokenize
-        for w in words:
-            if w.isascii() and w[w[0] == " " :].isalpha():  # one pre-token, whose bytes stand for themselves but for the space
-                into[w] = array("I", [x.id for x in model("\u0120" + w[1:] if w[0] == " " else w)]).tobytes()
-            elif self.special(w):
-                into[w] = self._whole(w)
-            else:
-                plain.append(w)
-        if self.kind == "spaced":  # a line feed between two words is a token of its own
-            blank = [w for w in plain if w.isspace()]
-            into.update((w, self._whole(w)) for w in blank)
-            plain, sep = [w for w in plain if not w.isspace()] if blank else plain, "\n"
-            sep_id = int(np.frombuffer(self._whole(sep), "<u4")[0])
-        groups = [plain[i : i + self.step] for i in range(0, len(plain), self.step)]
-        for group, got in zip(groups, self.tok.encode_batch_fast([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(ids == sep_id)
-            raw, starts, ends = ids.tobytes(), [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(ids) * 4]
-            into.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
+    def encode(self, text: str | None) -> bytes:
+        """A null text is empty."""
+        text = text or ""
+        if self.coder is None or self.special(text) or has_run(text):
+            return self._whole(text)
+        if self.kind == "words":
+            if not _COVERED.fullmatch(text):
+                return self._whole(text)
+            words = _WORDS(text.lower())
+            text = "\x01".join(words) + "\x01" if words else ""
+        elif not _SAFE.fullmatch(text) and _ODD.search(text):
+            return self._whole(text)
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """A null text is empty."""
-        cut, out = [], []
-        for t in texts:
-            t = t or ""
-            if self.kind == "spaceless":  # which lower-cases anyway; here A-Z only
-                t = t.encode("utf-8", "replace").lower().decode()
-            odd = self.kind == "whole" or (self.special(t) or (not t.isascii() or "\x0b" in t or "\x0c" in t or re.search("[\x1c-\x1f]", t)) and _OTHER_SPACE.search(t))
-            cut.append(None if odd else self.cut(t))
-        new: set[str] = set()
-        for words in cut:
-            if words:
-                new.update(words)
-        self._learn(self.cache.missing(new))
-        get = self.cache.young.__getitem__
-        for t, words in zip(texts, cut, strict=True):
-            out.append(self._whole(t or "") if words is None else b"".join(map(get, words)))
-        return out
+        return [self.encode(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

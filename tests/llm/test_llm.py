@@ -112,17 +112,25 @@ def test_repeats_edges(spark, docs):
     assert repeats.remove_repeats(docs.where("false")).count() == 0
 
 
-def test_suffix_family_merges_levels():
-    f = repeats.SuffixFamily(4)
-    rng, seen = np.random.default_rng(0), {}
+@pytest.mark.parametrize(("length", "letters"), [(4, 3), (16, 2), (20, 2), (50, 2)])
+def test_suffix_family_takes_batches(length, letters):
+    """Later batches find what earlier ones brought; levels grow geometrically."""
+    f = repeats.SuffixFamily(length)
+    rng, seen = np.random.default_rng(length), {}
+    words = [rng.integers(0, letters, length // 2).astype(np.uint8) for _ in range(12)]
     for batch in range(40):
-        s = np.array([bytes(x) for x in rng.integers(97, 100, (64, 4)).astype(np.uint8)], "S4")
-        ids = np.full(64, batch)
-        want = [seen.get(x, batch) < batch for x in s.tolist()]
-        assert f.add(s, ids).tolist() == want
-        for x in s.tolist():
-            seen.setdefault(x, batch)
+        buf = np.concatenate([words[i] for i in rng.integers(0, 12, 12)])
+        at = np.arange(len(buf) - length + 1)
+        ids = np.sort(rng.integers(2 * batch, 2 * batch + 2, len(at)))
+        got = f.add(buf, at, ids).tolist()
+        for i, k in zip(at.tolist(), ids.tolist(), strict=True):
+            w = buf[i : i + length].tobytes()
+            seen[w] = min(k, seen.get(w, k))
+        assert got == [seen[buf[i : i + length].tobytes()] < k for i, k in zip(at.tolist(), ids.tolist(), strict=True)]
     assert len(f.levels) <= 8
+    for level in f.levels:
+        s = [level.buf[i : i + length].tobytes() for i in level.at.tolist()]
+        assert s == sorted(set(s)) and [seen[x] for x in s] == level.least.tolist()
 
 
 def test_packing(spark, docs):
@@ -183,10 +191,16 @@ ODD = ["", " ", "  a  b\n\n c", "it's we'll 'tis", "é ñandú 漢字 🙂 a  b
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cached_encoder(name):
+def test_encoder(name):
     tok, enc = Tokenizer.from_file(P.path(name)), Encoder(P.path(name))
-    for x in ODD:
-        assert np.frombuffer(enc.encode_batch([x])[0], "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
+    assert enc.coder is not None
+    rng = np.random.default_rng(5)
+    fuzz = ["".join(rng.choice(list("abcdeT'shing séÀ\n.07!"), 60)) for _ in range(500)]
+    runs = ["a" * 60_000, " " * 60_000 + "x", "ab " * 30_000, "é" * 40_000]
+    vocabulary = [tok.decode([i]) for i in range(0, tok.get_vocab_size(), 17)]
+    for x in ODD + fuzz + runs + vocabulary:
+        assert np.frombuffer(enc.encode_batch([x])[0], "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids, x[:99]
+    assert enc.encode_batch([None]) == [b""]
 
 
 def test_trie_bpe(spark, docs):
