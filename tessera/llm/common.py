@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -127,6 +127,31 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[l
     return df.mapInArrow(run, out)
 
 
+def with_measures(docs: DataFrame, schema: str, make: Callable[[], Callable[[list[str | None]], list[list]]], row: str = "row") -> DataFrame:
+    """``docs`` as one struct column ``row`` beside columns made from its text.
+    ``make()`` runs once a task and gives a function from texts to those columns.
+    A row goes through Python once, with its text in it; ``text`` need not be a string."""
+    small_batches(docs)
+    odd = dict(docs.dtypes)["text"] != "string"
+    own = [docs[c] for c in docs.columns] + [docs["text"].cast("string")] * odd
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own)])
+    made = StructType.fromDDL(schema)
+    out = StructType([StructField(row, docs.schema, False), *made.fields])
+    arrow = to_arrow_schema(out)
+    at, kind = len(docs.columns) if odd else docs.columns.index("text"), arrow.field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for b in batches:
+            for part in slices(b):
+                got = step(part.column(at).to_pylist())
+                own = pa.StructArray.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(part.columns, kind, strict=False)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, type=f.type) for x, f in zip(got, list(arrow)[1:], strict=True))], schema=arrow)
+        tidy()
+
+    return rows.mapInArrow(run, out)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Short pieces, so that few decoded rows are held at once."""
     for i in range(0, batch.num_rows, rows):

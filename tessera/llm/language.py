@@ -66,11 +66,10 @@ class Profiles:
         return out
 
 
-def learn(docs: DataFrame, languages: int = 1000, **how) -> DataFrame:
+def learn(docs: DataFrame, **how) -> DataFrame:
     """(lang, vector) of every language of ``docs`` (text, lang); null ones are left out.
 
-    Every task adds up its n-grams by language and binds each once; the driver
-    may then collect at most ``languages`` vectors.
+    Every task adds up its n-grams by language and binds each once.
     """
     schema = StructType.fromDDL("lang string, vector array<double>")
     arrow = to_arrow_schema(schema)
@@ -92,7 +91,16 @@ def learn(docs: DataFrame, languages: int = 1000, **how) -> DataFrame:
     parts = docs.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, schema)
     each = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     vector = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    return each.groupBy("lang").agg(vector.alias("vector")).orderBy("lang").limit(languages)
+    return each.groupBy("lang").agg(vector.alias("vector"))
+
+
+def prototypes(learned: DataFrame, most: int = 20_000) -> list[tuple[str, list[float]]]:
+    """What ``learn`` found, in order of language. More than ``most`` languages
+    (8 KB each) are an error: a column of them would then be no language."""
+    n = learned.count()
+    if n > most:
+        raise ValueError(f"{n} languages to learn; at most {most} fit every task")
+    return [(r["lang"], list(r["vector"])) for r in learned.orderBy("lang").collect()]
 
 
 class Classifier:

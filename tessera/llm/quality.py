@@ -18,16 +18,11 @@ does not excuse itself; word lengths differ by nature and have no such bound.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from tessera.llm.common import WordHashes, shingles, slices, small_batches
+from tessera.llm.common import WordHashes, shingles, with_measures
 from tessera.plans.shared import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -65,19 +60,12 @@ def measure(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int, i
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``row`` beside the MEASURES of its text."""
-    text = F.col("text").cast("string").alias("text")
-    rows = small_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text)
-    schema = StructType([rows.schema["row"], *StructType.fromDDL(MEASURES).fields])
-    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         hashes = WordHashes()
-        for b in batches:
-            for part in slices(b):
-                got = np.array([measure(t, hashes) for t in part["text"].to_pylist()], np.int64).reshape(-1, 6)
-                yield pa.RecordBatch.from_arrays([part["row"], *(pa.array(got[:, i]) for i in range(6))], schema=arrow)
+        return lambda texts: list(np.array([measure(t, hashes) for t in texts], np.int64).reshape(-1, 6).T)
 
-    return rows.mapInArrow(run, schema)
+    return with_measures(docs, MEASURES, make)
 
 
 def ratio(name: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, toxicity
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import compared, with_neighbours
-from tessera.llm.language import held_out, identify, learn
+from tessera.llm.language import held_out, identify, learn, prototypes
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import judged
@@ -58,8 +58,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
-    prototypes = [(r["lang"], list(r["vector"])) for r in learn(docs.where(~out)).collect()]
-    return identify(docs, prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    known = prototypes(materialize(learn(docs.where(~out)), "prototypes"))
+    return identify(docs, known).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

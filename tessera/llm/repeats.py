@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import keyed, mix, slices, tidy, unkeyed
+from tessera.llm.common import NULL_KEY, keyed, mix, slices, tidy, unkeyed
 
 #: Windows of a run at most: their answers fill one unsigned 64-bit number.
 RUN = 64
@@ -398,7 +398,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_byte
     """(sha, k, n_bytes, spans, kept) of every distinct text of ``docs`` (k, text).
 
     k is the smallest id of the text, spans its removed byte ranges, kept the
-    remaining bytes, or with ``as_text`` the characters that are whole in them.
+    remaining bytes, or with ``as_text`` the characters that are whole in them
+    (null where nothing was removed).
     Null texts count as empty.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -476,7 +477,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_byte
         for sha, k, text, spans in cut_spans(left, right, length):
             ends = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-            rows.append((sha, k, len(text), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if as_text else kept))
+            rows.append((sha, k, len(text), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if as_text and spans else None if as_text else kept))
         tidy()
         return batches_of(out_t.names, out_a, rows)
 
@@ -505,3 +506,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, **how) -> DataFrame:
         F.when(whole, all_of).when(none, F.slice("spans", 1, 0)).otherwise(F.col("spans")).alias("spans"),
         F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 50, **how) -> DataFrame:
+    """``docs`` with the remaining characters as text and n_chars, if there, counted anew.
+
+    Rows stay as many as they are, whatever ids they share; the rule is
+    ``remove_repeats``', but characters that a cut splits go whole. Null texts
+    stay null.
+    """
+    rows = keyed(docs)
+    cuts = repeated_spans(rows, length, as_text=True, **how)
+    cuts = cuts.select("sha", F.col("k").alias("least"), "kept")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    k = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), k.alias("k"), F.octet_length(text).alias("size"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    j = own.join(cuts, "sha")
+    later = F.col("k") > F.col("least")
+    left = F.when(later & (F.col("size") >= length), F.lit("")).when(later, F.col("row.text")).otherwise(F.coalesce("kept", "row.text"))
+    left = F.when(F.col("row.text").isNotNull(), left)
+    new = {"text": left, "n_chars": F.length(left).cast("long")}
+    return j.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

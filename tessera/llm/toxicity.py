@@ -16,18 +16,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from tessera.llm.common import keyed, slices, small_batches
+from tessera.llm.common import keyed, with_measures
 
 WINDOW, STEP, GRAM, LEVEL = 80, 56, 5, 9
 EDGE = b".,;:!?#*$%&|<>()[]'-" + b'"'
@@ -175,18 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` as one struct column ``row`` beside its score. Null and empty texts get a score too."""
-    rows = small_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = StructType([rows.schema["row"], *StructType.fromDDL(f"{column} double").fields])
-    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         pair = Pair(model.toxic, model.ordinary)
-        for b in batches:
-            for part in slices(b):
-                x = np.array([pair.features(t) for t in part["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([part["row"], pa.array(model.score(x), pa.float64())], schema=arrow)
+        return lambda texts: [model.score(np.array([pair.features(t) for t in texts]))]
 
-    return rows.mapInArrow(run, schema)
+    return with_measures(docs, f"{column} double", make)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -35,15 +35,30 @@ def resource(url: Column) -> Column:
     return F.when(F.instr(u, "://") > 0, F.concat(part(u, 1), part(u, 2), part(u, 3)))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..``, which never lead above the root."""
+    steps = F.split(path, "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+    walk = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    dots = F.element_at(steps, -1).isin(".", "..")
+    return F.concat(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"), F.when(dots, "/").otherwise(""))
+
+
 def absolute(base: Column, link: Column) -> Column:
-    """A link as a url, seen from ``base``: absolute, //host, /path or beside the base's path."""
-    link = F.trim(link)
+    """A link as a url, seen from ``base``: with a scheme, //host, /path, ?query
+    or beside the base's path; null for one without a place (``mailto:`` and the like)."""
+    link = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
     root = F.concat(F.lit("http://"), part(base, 1))
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(link, r"(?s)^([^?#]*)(.*)$", 2)
+    beside = F.concat(F.regexp_replace(part(base, 2), "[^/]*$", ""), path)
+    beside = F.when(beside.startswith("/"), beside).otherwise(F.concat(F.lit("/"), beside))
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(F.length(link) > 0, F.concat(root, F.regexp_replace(part(base, 2), "[^/]*$", ""), link))
+        .when(link.startswith("/"), F.concat(root, plain_path(path), rest))
+        .when(link.startswith("?"), F.concat(root, part(base, 2), rest))
+        .when(F.length(path) > 0, F.concat(root, plain_path(beside), rest))
     )
 
 
