@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
-from tessera.llm.common import NULL_KEY, keyed, read_table
+from tessera.llm.common import read_table
 from tessera.llm.minhash import least_rows
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import filter_quality
-from tessera.llm.repeats import repeated_spans
+from tessera.llm.repeats import without_repeats
 from tessera.plans.shared import materialize
 
 
@@ -44,10 +44,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Characters that a cut splits go whole; n_chars is counted anew. No document goes.
     """
-    cut = repeated_spans(keyed(docs), as_text=True).where(F.size("spans") > 0).select(F.col("k").alias("_k"), F.col("kept").alias("_text"))
-    rows = docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)) == cut["_k"], "left")
-    text = F.coalesce("_text", docs["text"])
-    return rows.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else docs[c]).alias(c) for c in docs.columns])
+    return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
