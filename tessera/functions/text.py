@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that are no entities, by part of speech.
-STOP_WORDS = tuple(
-    """the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used
-    and but or nor for yet so if then than that this these those it its they them their we our you your i my he she his her
-    which who whom where when how what why not no yes more less also both each few some such same other another there here
-    up down in out on off over under again about with without through during before after above below between because while although however""".split()
+# Words that are no entities, and what an entity looks like.
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "shall", "can", "need", "dare", "ought", "used", "and", "but", "or", "nor", "for", "yet",
+    "so", "if", "then", "than", "that", "this", "these", "those", "it", "its", "they", "them", "their", "we", "our", "you", "your",
+    "i", "my", "he", "she", "his", "her", "which", "who", "whom", "where", "when", "how", "what", "why", "not", "no", "yes", "more",
+    "less", "also", "both", "each", "few", "some", "such", "same", "other", "another", "there", "here", "up", "down", "in", "out",
+    "on", "off", "over", "under", "again", "about", "with", "without", "through", "during", "before", "after", "above", "below",
+    "between", "because", "while", "although", "however",
 )
 CAP_PHRASE = r"\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,3}\b"
 CAP_WORD = r"\b[A-Z][A-Za-z0-9]*\b"
@@ -40,28 +43,48 @@ KINDS: dict[str, str] = {
 }
 # Names of file types by suffix.
 TYPE_LABELS: dict[str, str] = {
-    "PDF document": ".pdf",
-    "Word document": ".doc .docx",
-    "Excel spreadsheet": ".xls .xlsx",
-    "PowerPoint deck": ".ppt .pptx",
-    "text file": ".txt",
-    "Markdown file": ".md",
-    "HTML page": ".html .htm",
-    "CSV table": ".csv",
-    "JSON file": ".json",
-    "XML file": ".xml",
-    "image": ".jpg .jpeg .png .gif",
-    "vector image": ".svg .eps",
-    "Photoshop image": ".psd",
-    "Adobe XD design": ".xd",
-    "Visio diagram": ".vsdx",
-    "CAD drawing": ".dwg",
-    "video": ".mp4 .mov",
-    "archive": ".zip .rar",
+    ".pdf": "PDF document",
+    ".doc": "Word document",
+    ".docx": "Word document",
+    ".xls": "Excel spreadsheet",
+    ".xlsx": "Excel spreadsheet",
+    ".ppt": "PowerPoint deck",
+    ".pptx": "PowerPoint deck",
+    ".txt": "text file",
+    ".md": "Markdown file",
+    ".html": "HTML page",
+    ".htm": "HTML page",
+    ".csv": "CSV table",
+    ".json": "JSON file",
+    ".xml": "XML file",
+    ".jpg": "image",
+    ".jpeg": "image",
+    ".png": "image",
+    ".gif": "image",
+    ".svg": "vector image",
+    ".psd": "Photoshop image",
+    ".eps": "vector image",
+    ".xd": "Adobe XD design",
+    ".vsdx": "Visio diagram",
+    ".dwg": "CAD drawing",
+    ".mp4": "video",
+    ".mov": "video",
+    ".zip": "archive",
+    ".rar": "archive",
 }
+# Suffixes read as text, and those that need a converter.
 TEXT_SUFFIXES = (".md", ".markdown", ".txt", ".text", ".rst", ".log")
 CONVERTIBLE_SUFFIXES = (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".csv", ".tsv", ".html", ".htm", ".xml", ".json", ".epub", ".rtf", ".odt", ".msg")
-MIME = {"image/jpeg": ".jpg .jpeg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/bmp": ".bmp", "image/svg+xml": ".svg"}
+# Media types by suffix.
+MIME: dict[str, str] = {
+    ".jpg": "image/jpeg",
+    ".jpeg": "image/jpeg",
+    ".png": "image/png",
+    ".gif": "image/gif",
+    ".webp": "image/webp",
+    ".bmp": "image/bmp",
+    ".svg": "image/svg+xml",
+}
 
 
 def entities(content: Column, most: int = 24, extra_stop: tuple[str, ...] = (), min_length: int = 2) -> Column:
@@ -77,6 +100,11 @@ def ascii_only(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def clean_markdown(text: Column) -> Column:
     """Line ends unified, comments dropped, line ends stripped, blank runs cut to one, ends stripped of line feeds."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
@@ -112,19 +140,18 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
 
 
+def _by_suffix(s: Column, table: dict[str, str], other: Column) -> Column:
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, s), other)
+
+
 def type_label(s: Column) -> Column:
     s = F.lower(s)
-    out = F.when(s == "", "file").otherwise(F.concat(F.upper(F.substring(s, 2, 100)), F.lit(" file")))
-    for label, suffixes in TYPE_LABELS.items():
-        out = F.when(s.isin(*suffixes.split()), label).otherwise(out)
-    return out
+    return _by_suffix(s, TYPE_LABELS, F.when(s == "", "file").otherwise(F.concat(F.upper(F.substring(s, 2, 100)), F.lit(" file"))))
 
 
 def mime(s: Column) -> Column:
-    out = F.lit("application/octet-stream")
-    for name, suffixes in MIME.items():
-        out = F.when(s.isin(*suffixes.split()), name).otherwise(out)
-    return out
+    return _by_suffix(F.lower(s), MIME, F.lit("application/octet-stream"))
 
 
 def text_route(s: Column) -> Column:
@@ -165,3 +192,36 @@ def to_utc(ts: Column) -> Column:
     at = F.when(num < 1e10, F.timestamp_seconds(num)).when(num.isNotNull(), F.timestamp_millis(num.cast("long")))
     at = F.coalesce(at, F.try_to_timestamp(ts), F.try_to_timestamp(ts, F.lit("yyyy/MM/dd HH:mm:ss")), F.try_to_timestamp(ts, F.lit("yyyy-MM-dd")))
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def base64url_text(text: Column) -> Column:
+    """The text of url-safe base64 without padding, stripped of what a wrong
+    length leaves at its end; null if it cannot be decoded."""
+    whole = F.rpad(F.translate(text, "-_", "+/"), (F.ceil(F.length(text) / 4) * 4).cast("int"), "=")
+    got = F.make_valid_utf8(F.try_to_binary(whole, F.lit("base64")).cast("string"))
+    return F.nullif(F.regexp_replace(got, "[?\ufffd\\x00-\\x1f]+\\z", ""), F.lit(""))
+
+
+def is_local_url(url: Column) -> Column:
+    """Whether a url's host is this machine: localhost, 127.*, ::1."""
+    host = F.lower(F.coalesce(F.regexp_extract(url, r"^[^:/?#]*:?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)", 1), F.lit("")))
+    return (host == "localhost") | host.startswith("127.") | host.isin("::1", "[::1]")
+
+
+def extract_json(text: Column) -> Column:
+    """The one JSON object in a model's reply, as JSON text; ``{}`` without one.
+    Thoughts, code fences and prose around it are passed over."""
+    t = strip(F.regexp_replace(text, "(?s)<think>.*?</think>", ""))
+    fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    t = F.when(t.rlike(r"(?s)```(?:json)?\s*(.*?)\s*```"), strip(fence)).otherwise(t)
+    body = F.try_parse_json(F.regexp_extract(t, r"(?s)(\{.*\})", 1))
+    return F.when(F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False)), F.to_json(body)).otherwise("{}")
+
+
+# What marks a text's own facts (numbers, capitals, quoted spans).
+DISTINCTIVE = r'\b\d[\d.,:/-]*\b|\b[A-Z]{2,}\b|"[^"]{2,40}"'
+
+
+def distinctive_tokens(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(DISTINCTIVE), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.lower(F.btrim(x, F.lit('"')))))

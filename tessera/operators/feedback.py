@@ -58,6 +58,10 @@ def session_feedback(session: DataFrame, results: DataFrame, useful: list[str],
     return done, marked, events
 
 
-def feedback_prompt(results: DataFrame) -> DataFrame:
-    """One line per session: the ids to be rated."""
-    return results.groupBy("session_id").agg(F.concat_ws(", ", F.sort_array(F.collect_list("memory_id"))).alias("ids")).select("session_id", F.concat(F.lit("Which of these were useful or stale: "), "ids").alias("prompt"))
+def feedback_prompt(results: DataFrame, records: DataFrame, template: str = "{memories}\n\n{answer}", answer: str = "") -> DataFrame:
+    """(session_id, prompt): what a session returned, a line ``id :: content`` each, in the caller's template. A page of results is one short list."""
+    rows = results.join(records.select(F.col("id").cast("string").alias("memory_id"), "content"), "memory_id")
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("relevance_score")).alias("s"), "memory_id", F.concat_ws(" :: ", "memory_id", "content").alias("line"))))
+    told = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    text = F.replace(F.replace(F.lit(template), F.lit("{answer}"), F.lit(answer)), F.lit("{memories}"), F.col("told"))
+    return rows.groupBy("session_id").agg(told.alias("told")).select("session_id", text.alias("prompt"))

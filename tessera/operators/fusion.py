@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.shared import materialize
+
 RRF_K = 60
 
 
@@ -22,7 +24,9 @@ def rrf(sources: list[DataFrame], weights: list[float] | None = None, k: int = R
 
 
 def fuse(sources: list[DataFrame], weights: list[float]) -> DataFrame:
-    """No live source gives nothing, a single one its raw scores, more their reciprocal ranks."""
+    """No live source gives nothing, a single one its raw scores, more their
+    reciprocal ranks. Each source, a pool, is written once and looked at there."""
+    sources = [materialize(s, "pool") for s in sources]
     live = [(s, w) for s, w in zip(sources, weights, strict=True) if s.head(1)]
     if len(live) == 1:
         return live[0][0].select("id", "score")

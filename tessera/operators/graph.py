@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import clamp
+from tessera.operators.evaluate import nearest_rank
 from tessera.plans.shared import materialize
 from tessera.schema import SYMMETRIC
 from tessera.settings import Links
 
 
-
 def entity_rows(records: DataFrame, settings: Links = Links()) -> DataFrame:
     """(id, entity) of active records, each pair once, without the stop list and entities over the cap."""
     live = records.where("is_active and not is_archived")
@@ -28,18 +28,30 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     return rows.groupBy("entity").agg(F.count("*").alias("df"))
 
 
-def co_occurrence(rows: DataFrame) -> DataFrame:
-    """(id1, id2, shared, entity) of every pair of records with an entity in common; entity is the least.
+#: Records of an entity up to which its pairs are made in one task; more are cut into blocks of that size.
+BLOCK = 2000
+
+
+def entity_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(entity, id1, id2, and what else ``rows`` has) of every two records with an entity in common, id1 < id2.
 
-    Every pair is part of the result. An entity's members are numbered into
-    blocks and joined block by block, so a very common one is work for many
-    tasks instead of one.
+    Every pair is part of the result. An entity of up to ``block`` records is
+    joined as it is; the members of a more common one are dealt to blocks and
+    meet block by block, so it is work for many tasks instead of one.
     """
-    block = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")
-    a = rows.select("entity", F.col("id").alias("id1"), block.alias("b1")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    b = rows.select("entity", F.col("id").alias("id2"), block.alias("b2")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    pairs = a.join(b, ["entity", "b1", "b2"]).where("id1 < id2")
-    return pairs.groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("entity").alias("entity"))
+    nb = rows.groupBy("entity").agg(F.ceil(F.count("*") / block).alias("nb")).where("nb > 1")
+    salted = rows.join(nb, "entity", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("nb"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+    extra = [c for c in rows.columns if c not in ("entity", "id")]
+    a = salted.select("entity", F.col("id").alias("id1"), *extra, own.alias("b1"), "nb").withColumn("b2", every).drop("nb")
+    b = salted.select("entity", F.col("id").alias("id2"), own.alias("b2"), "nb").withColumn("b1", every).drop("nb")
+    return a.join(b, ["entity", "b1", "b2"]).where("id1 < id2").drop("b1", "b2")
+
+
+def co_occurrence(rows: DataFrame) -> DataFrame:
+    """(id1, id2, shared, entity) of every pair of records with an entity in common; entity is the least."""
+    return entity_pairs(rows).groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("entity").alias("entity"))
 
 
 def concept_pairs(records: DataFrame, settings: Links = Links()) -> DataFrame:
@@ -48,10 +60,7 @@ def concept_pairs(records: DataFrame, settings: Links = Links()) -> DataFrame:
     n = records.where("is_active and not is_archived").count()
     df = document_frequency(rows).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
     weight = rows.join(df, "entity").select("id", "entity", "idf")
-    block = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")
-    a = weight.select("entity", "idf", F.col("id").alias("id1"), block.alias("b1")).withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    b = rows.select("entity", F.col("id").alias("id2"), block.alias("b2")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    pairs = a.join(b, ["entity", "b1", "b2"]).where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("entity").alias("entity"), F.sum("idf").alias("idf"))
+    pairs = entity_pairs(weight).groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("entity").alias("entity"), F.sum("idf").alias("idf"))
     size = rows.groupBy("id").agg(F.count("*").alias("size"))
     s1, s2 = (size.select(F.col("id").alias(f"id{i}"), F.col("size").alias(f"size{i}")) for i in (1, 2))
     j = pairs.where(F.col("shared") >= settings.min_shared).join(s1, "id1").join(s2, "id2")
@@ -75,8 +84,8 @@ def cap_per_node(pairs: DataFrame, settings: Links = Links()) -> DataFrame:
     degree = both.groupBy("n").agg(F.count("*").alias("d"))
     cap = F.lit(settings.max_per_node)
     if settings.hub_multiplier != 1.0:
-        ranked = degree.agg(F.sort_array(F.collect_list("d")).alias("ds")).first()["ds"]
-        limit = ranked[min(len(ranked) - 1, int(settings.hub_percentile * len(ranked)))] if ranked else 0
+        row = nearest_rank(degree, "d", settings.hub_percentile).head(1)
+        limit = row[0]["d"] if row else 0
         cap = F.when(F.col("d") >= limit, int(settings.max_per_node * settings.hub_multiplier)).otherwise(settings.max_per_node)
     room = materialize(degree.select("n", cap.alias("room")), "room")
     left, taken = materialize(pairs, "open"), None

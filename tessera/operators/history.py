@@ -15,8 +15,8 @@ from tessera.settings import Segments
 def by_gap(turns: DataFrame, minutes: float) -> DataFrame:
     """Adds ``segment``: a new one after a silence longer than ``minutes``."""
     w = Window.partitionBy("session_id").orderBy("seq")
-    seconds = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
-    return turns.withColumn("_new", (F.coalesce(seconds, F.lit(0)) > minutes * 60).cast("int")).withColumn("segment", F.sum("_new").over(w)).drop("_new")
+    micros = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
+    return turns.withColumn("_new", (F.coalesce(micros, F.lit(0)) > minutes * 60_000_000).cast("int")).withColumn("segment", F.sum("_new").over(w)).drop("_new")
 
 
 def segments(turns: DataFrame, s: Segments = Segments()) -> DataFrame:
@@ -26,9 +26,9 @@ def segments(turns: DataFrame, s: Segments = Segments()) -> DataFrame:
     folds the tail. A session of up to ``max_turns`` turns is one segment.
 
     The rules depend on where the last cut was, so a session is folded in
-    order by one expression over its (seq, seconds, role) triples.
+    order by one expression over its (seq, microseconds, role) triples.
     """
-    item = F.struct("seq", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("role") == "user").alias("user"))
+    item = F.struct("seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("role") == "user").alias("user"))
     t = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("ts"))
     if not s.enabled:
         whole = F.array(F.struct(F.lit(0).alias("lo"), (F.size("ts") - 1).alias("hi")))
@@ -39,7 +39,7 @@ def segments(turns: DataFrame, s: Segments = Segments()) -> DataFrame:
 
     def step(a: Column, x: Column) -> Column:
         n = a["i"] - a["lo"]
-        silent = F.lit(False) if s.gap_minutes <= 0 else F.coalesce((n > 0) & (x["at"] - a["last"] > int(s.gap_minutes * 60)), F.lit(False))
+        silent = F.lit(False) if s.gap_minutes <= 0 else F.coalesce((n > 0) & (x["at"] - a["last"] > int(s.gap_minutes * 60_000_000)), F.lit(False))
         cut = silent | ((n >= s.target_turns) & x["user"])
         out = F.when(cut, F.concat(a["out"], F.array(seg(a["lo"], a["i"] - 1)))).otherwise(a["out"])
         lo = F.when(cut, a["i"]).otherwise(a["lo"])
@@ -72,9 +72,10 @@ def turns_of(turns: DataFrame, segs: DataFrame) -> DataFrame:
 
 def distil(turns: DataFrame, keys: list[str], tools: str | None = None) -> DataFrame:
     """Per group: title, summary and kind from its first user turn, last
-    assistant turn and tools. First and last come from min_by and max_by, which
-    combine before the shuffle."""
-    user, bot = F.col("role") == "user", F.col("role") == "assistant"
+    assistant turn and tools, redacted before anything is cut. First and last
+    come from min_by and max_by, which combine before the shuffle; blank turns do not count."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != ""
+    user, bot = (F.col("role") == "user") & said, (F.col("role") == "assistant") & said
     aggs = [
         F.min_by(F.when(user, F.col("text")), F.when(user, F.col("seq"))).alias("asked"),
         F.max_by(F.when(bot, F.col("text")), F.when(bot, F.col("seq"))).alias("outcome"),
@@ -82,7 +83,7 @@ def distil(turns: DataFrame, keys: list[str], tools: str | None = None) -> DataF
     ]
     if tools:
         aggs.append(F.array_sort(F.collect_set(tools)).alias("tools"))
-    g = turns.groupBy(*keys).agg(*aggs)
+    g = turns.groupBy(*keys).agg(*aggs).withColumns({c: redact(F.col(c)) for c in ("asked", "outcome")})
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     title = F.substring(flat(F.regexp_extract(F.coalesce("asked", F.lit("")), r"^\s*([^\n]*)", 1)), 1, 80)
     parts = [F.when(F.col("asked").isNotNull(), F.concat(F.lit("Asked: "), F.substring(flat(F.col("asked")), 1, 200)))]
@@ -90,26 +91,37 @@ def distil(turns: DataFrame, keys: list[str], tools: str | None = None) -> DataF
     if tools:
         parts.append(F.when(F.size("tools") > 0, F.concat(F.lit("tools: "), F.array_join("tools", ", "))))
     summary = F.substring(F.concat_ws(" ", *parts), 1, 600)
-    return g.select(*keys, "n_turns", title.alias("title"), redact(summary).alias("summary"), kind(F.concat_ws(" ", "asked", "outcome")).alias("kind"))
+    return g.select(*keys, "n_turns", title.alias("title"), summary.alias("summary"), kind(F.concat_ws(" ", "asked", "outcome")).alias("kind"))
 
 
 def elide(lines: list[str], roles: list[str], most: int) -> list[str]:
-    """A transcript of at most ``most`` characters: the first, the last and the
-    user's lines stay longest; others go from the middle outwards, each gap marked."""
-    keep = set(range(len(lines)))
-    middle = sorted((i for i in keep if i not in (0, len(lines) - 1)), key=lambda i: (roles[i] == "user", abs(i - len(lines) / 2)))
-    size = lambda: sum(len(lines[i]) + 1 for i in keep)
-    for i in middle:
-        if size() <= most:
-            break
-        keep.discard(i)
-    out, last = [], -1
-    for i in sorted(keep):
-        if i - last > 1:
-            out.append(f"[... {i - last - 1} turns left out ...]")
-        out.append(lines[i])
-        last = i
-    return out
+    """A transcript of at most ``most`` characters, each gap marked. The first
+    and the last line always stay (cut, if they alone are too long); others go
+    from the middle outwards, and a user's lines only when all the rest is gone."""
+    n = len(lines)
+    if sum(map(len, lines)) + n - 1 <= most or not n:
+        return list(lines)
+    rest = sorted(range(1, n - 1), key=lambda i: (roles[i] == "user", abs(i - n // 2)))
+    keep = set(range(n))
+
+    def told() -> list[str]:
+        out, last = [], -1
+        for i in sorted(keep):
+            if i - last > 1:
+                out.append(f"… [{i - last - 1} turns elided] …")
+            out.append(lines[i])
+            last = i
+        return out
+
+    while rest and sum(map(len, t := told())) + len(t) - 1 > most:
+        keep.discard(rest.pop(0))
+    out = told()
+    over = sum(map(len, out)) + len(out) - 1 - most
+    if over > 0:  # two lines and a mark: the longer end gives way first
+        for i in sorted({0, len(out) - 1}, key=lambda i: -len(out[i])):
+            cut = min(over, len(out[i]))
+            out[i], over = out[i][: len(out[i]) - cut], over - cut
+    return out if over <= 0 else ["\n".join(out)[:most]]
 
 
 def signature(version: int, model: Column, transcript: Column, settings: str = "") -> Column:
@@ -157,6 +169,28 @@ def timeline(rows: DataFrame, start: datetime, end: datetime, limit: int, groupe
     return ranked.withColumn("_g", F.min("_r").over(Window.partitionBy("session_id"))).orderBy("_g", "segment_index").drop("_r", "_g")
 
 
+def search(records: DataFrame, query: str, now: datetime, repo: str | None = None, since: str | None = None, limit: int = 10) -> DataFrame:
+    """The best segments for a query, in order (``place``), shaped for a report.
+
+    The search knows nothing of repositories and dates, so more is fetched than
+    asked for (up to 100) and cut afterwards; segments without a date pass ``since``."""
+    from tessera.operators.records import meta
+    from tessera.operators.search import search as ranked
+    from tessera.operators.sync import RECORD_TYPE, shaped
+
+    fetch = min(100, max(3 * limit, 100) if repo is not None or since is not None else 3 * limit)
+    found = ranked(records, query, str(now), fetch)
+    rows = found.join(records, "id").where(meta("record_type") == RECORD_TYPE)
+    if repo is not None:
+        rows = rows.where(F.coalesce(meta("repo"), F.lit("")) == repo)
+    if since is not None:
+        rows = rows.where(F.col("valid_from").isNull() | (F.col("valid_from") >= F.lit(window(since, None, None, now)[0]).cast("timestamp_ntz")))
+    best = rows.orderBy(F.desc("score"), "id").limit(limit)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # at most ``limit`` rows
+    order = best.select("id", place.alias("place"))
+    return shaped(best).join(order, "id").orderBy("place")
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """Sessions, segments and the first and last day, over all and by kind."""
     aggs = F.count_distinct("session_id").alias("sessions"), F.count("*").alias("segments"), F.date_format(F.min("valid_from"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("valid_from"), "yyyy-MM-dd").alias("last_day")

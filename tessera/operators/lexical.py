@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.shared import materialize
+
 K1, B = 1.2, 0.75
 
 
@@ -26,41 +28,68 @@ def tokens(content):
     return F.filter(F.split(F.lower(content), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _score(counted: DataFrame, n_terms: int) -> DataFrame:
-    """BM25 of rows (id, dl, f0, f1, ...). N, the average length and the
+def word_counts(content, terms: list[tuple[str, bool]]) -> list[Column]:
+    """Length in tokens, then the places of every term: whole tokens, or the beginnings of tokens."""
+    low = F.lower(content)
+    places = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){re.escape(t)}" + ("" if pre else "(?![a-z0-9])"))) for t, pre in terms]
+    return [F.regexp_count(low, F.lit("[a-z0-9]+")), *places]
+
+
+def trigram_counts(content, terms: list[str]) -> list[Column]:
+    """Length in trigrams, then every term's places, overlapping ones too."""
+    low = F.lower(content)
+    return [F.greatest(F.length(content) - 2, F.lit(0)), *[F.regexp_count(low, F.lit(f"(?={re.escape(t)})")) for t in terms]]
+
+
+def counted(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> tuple[DataFrame, int, int]:
+    """(id, dl, f0, ..., tl, g0, ...) of every record, written once: the one pass
+    over the texts that both rankings need. Then how many f and g there are."""
+    words, grams = query_terms(query), trigram_terms(query)
+    cells = [c.alias(n) for c, n in zip(word_counts(F.col(content), words), ["dl", *(f"f{i}" for i in range(len(words)))], strict=True)]
+    cells += [c.alias(n) for c, n in zip(trigram_counts(F.col(content), grams), ["tl", *(f"g{i}" for i in range(len(grams)))], strict=True)]
+    return materialize(records.select(F.col(id_col).alias("id"), *cells), "counts"), len(words), len(grams)
+
+
+def _score(rows: DataFrame, length: str, terms: list[str]) -> DataFrame:
+    """BM25 of rows (id, length, a count a term). N, the average length and the
     document frequencies come from one aggregate over the same rows, whose
     single row is joined back; no posting is shuffled."""
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"_df{i}") for i in range(n_terms)])
-    any_hit = F.greatest(*[F.col(f"f{i}") for i in range(n_terms)], F.lit(0)) > 0
-    hits = counted.where(any_hit).join(F.broadcast(stats))  # one row
+    if not terms:
+        return rows.select("id", F.lit(0.0).alias("score")).where("false")
+    stats = rows.agg(F.count("*").alias("_n"), F.avg(length).alias("_avg"), *[F.count_if(F.col(f) > 0).alias(f"_d{f}") for f in terms])
+    any_hit = F.greatest(*[F.col(f) for f in terms], F.lit(0)) > 0
+    hits = rows.where(any_hit).join(F.broadcast(stats))  # one row
     parts = F.lit(0.0)
-    for i in range(n_terms):
-        f, df = F.col(f"f{i}").cast("double"), F.col(f"_df{i}")
+    for name in terms:
+        f, df = F.col(name).cast("double"), F.col(f"_d{name}")
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        parts = parts + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))).otherwise(0.0)
+        parts = parts + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col(length) / F.col("_avg")))).otherwise(0.0)
     return hits.select("id", F.round(parts, 6).alias("score"))
 
 
+def both(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """The rankings by words and by substrings, from one pass over the texts."""
+    rows, n, m = counted(records, query, id_col, content)
+    return _score(rows, "dl", [f"f{i}" for i in range(n)]), _score(rows, "tl", [f"g{i}" for i in range(m)])
+
+
 def bm25(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, score) of every record with a term. Prefix terms count every token they begin."""
     terms = query_terms(query)
-    if not terms:
-        return records.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
-    toks = records.select(F.col(id_col).alias("id"), tokens(F.col(content)).alias("t"))
-    count = lambda t, pre: F.size(F.filter("t", lambda x: x.startswith(t) if pre else x == t))
-    return _score(toks.select("id", F.size("t").alias("dl"), *[count(t, p).alias(f"f{i}") for i, (t, p) in enumerate(terms)]), len(terms))
+    names = ["dl", *(f"f{i}" for i in range(len(terms)))]
+    cells = [c.alias(x) for c, x in zip(word_counts(F.col(content), terms), names, strict=True)]
+    rows = records.select(F.col(id_col).alias("id"), *cells)
+    return _score(materialize(rows, "counts") if terms else rows, "dl", names[1:])
 
 
 def trigram(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, score) by substrings: f counts overlapping places, the length is that of the trigrams."""
     terms = trigram_terms(query)
-    if not terms:
-        return records.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
-    low = F.lower(content)
-    count = lambda t: F.regexp_count(low, F.lit(f"(?={re.escape(t)})"))
-    rows = records.select(F.col(id_col).alias("id"), F.greatest(F.length(content) - 2, F.lit(0)).alias("dl"), *[count(t).alias(f"f{i}") for i, t in enumerate(terms)])
-    return _score(rows, len(terms))
+    names = ["tl", *(f"g{i}" for i in range(len(terms)))]
+    cells = [c.alias(x) for c, x in zip(trigram_counts(F.col(content), terms), names, strict=True)]
+    rows = records.select(F.col(id_col).alias("id"), *cells)
+    return _score(materialize(rows, "counts") if terms else rows, "tl", names[1:])
 
 
 def top(scored: DataFrame, n: int, *, by: str = "score", ascending: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import effective_score
 from tessera.operators.fusion import fuse, min_max
-from tessera.operators.lexical import bm25, pool, top, trigram
+from tessera.operators.lexical import both, pool, top
+from tessera.plans.shared import materialize
 from tessera.settings import Notes
 
 
@@ -53,7 +55,7 @@ class Filter:
 def candidates(records: DataFrame, query: str, limit: int, vectors: DataFrame | None = None, vector_weight: float = 1.0) -> DataFrame:
     """(id, relevance) of the fused pools; ``vectors`` (id, score) is a ranked pool of its own."""
     n = pool(limit)
-    sources, weights = [top(bm25(records, query), n), top(trigram(records, query), n)], [1.0, 1.0]
+    sources, weights = [top(ranking, n) for ranking in both(records, query)], [1.0, 1.0]
     if vectors is not None:
         sources.append(vectors.orderBy(F.desc("score"), "id").limit(n))
         weights.append(vector_weight)
@@ -71,6 +73,52 @@ def search(records: DataFrame, query: str, now: str, limit: int = 10, where: Fil
     return rows.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+@dataclass(frozen=True)
+class Found:
+    results: DataFrame  # (id, score, origin, place): ranked ones first, then neighbours
+    notes: DataFrame  # (result_id, note_id, rank)
+    sessions: DataFrame
+    query_results: DataFrame
+    records: DataFrame  # with the counters of what was returned raised
+
+
+@dataclass(frozen=True)
+class Around:
+    depth: int = 1
+    min_strength: float = 0.0
+    types: tuple[str, ...] = ()
+
+
+def full_search(records: DataFrame, links: DataFrame, sessions: DataFrame, query_results: DataFrame, query: str, now: str, session_id: str, limit: int = 10, where: Filter = Filter(), embed: Callable[[str], list[float]] | None = None, vector_weight: float = 1.0, around: Around | None = None, notes: Notes = Notes()) -> Found:
+    """Search as a user meets it: three ranked sources, filter and score, the
+    neighbours of what was found, the notes on it, and the log of the session.
+
+    ``embed`` turns the query into a vector for records with an ``embedding``.
+    Neighbours pass no filter and score 0; everything returned is logged and
+    counted. The tables come back new; nothing is written for good.
+    """
+    from tessera.operators.feedback import touch
+    from tessera.operators.graph import search_around
+    from tessera.operators.records import open_session, record_results
+    from tessera.operators.vector import cosine_top_k
+
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is 1 to 100")
+    vectors = None
+    if embed is not None:
+        vectors = cosine_top_k(records.select("id", F.col("embedding").alias("vector")).where("vector is not null"), embed(query), pool(limit))
+    best = materialize(search(records, query, now, limit, where, vectors, vector_weight, notes=notes), "best")
+    place = F.row_number().over(Window.orderBy("origin", F.desc("score"), "id"))  # a page of results
+    found = best.select("id", "score", F.lit(0).alias("origin"))
+    if around is not None:
+        near = search_around(links, best.select("id"), around.depth, around.min_strength, list(around.types) or None)
+        near = near.join(records.select("id"), "id", "left_semi")
+        extra = merge_anchors(best, near).where("origin = 1").select("id", F.lit(0.0).alias("score"), F.lit(1).alias("origin"))
+        found = found.unionByName(extra)
+    found = materialize(found.withColumn("place", place), "found")
+    return Found(found, with_notes(found, links, records, notes.auto_include_cap), open_session(sessions, query, now, session_id), record_results(query_results, session_id, found), touch(records, found, now))
+
+
 def with_notes(results: DataFrame, links: DataFrame, notes: DataFrame, cap: int = 3) -> DataFrame:
     """(result_id, note_id, rank): for every result its strongest, then newest, active notes, at most ``cap``."""
     e = links.where("link_type = 'annotates'").select(F.col("target_memory_id").alias("result_id"), F.col("source_memory_id").alias("note_id"), "strength")

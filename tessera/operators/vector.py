@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,45 +69,37 @@ def cosine_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", F.round(score, 6).alias("score")).where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
-class HashingEmbedder:
-    """Signed feature hashing of word 1-2-grams and letter 3-5-grams, of length 1."""
+def _signed_place(feature: str, dim: int) -> tuple[int, float]:
+    h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+    return h % dim, 1.0 if h >> 63 else -1.0
 
-    def __init__(self, dim: int = 512, words: tuple[int, int] = (1, 2), letters: tuple[int, int] = (3, 5)) -> None:
-        self.dim, self.words, self.letters = dim, words, letters
-        self.known: dict[str, tuple[int, float]] = {}
 
-    def features(self, text: str) -> list[str]:
-        toks = [t for t in re.split("[^a-z0-9]+", text.lower()) if len(t) >= 2]
-        spans = (toks[i : i + n] for n in range(self.words[0], self.words[1] + 1) for i in range(len(toks) - n + 1))
-        edged = [f"^{t}$" for t in toks] if self.letters[1] else []
-        pieces = (t[i : i + n] for t in edged for n in range(max(1, self.letters[0]), self.letters[1] + 1) for i in range(len(t) - n + 1))
-        return ["w:" + " ".join(s) for s in spans] + ["c:" + p for p in pieces]
+_place = lru_cache(maxsize=1 << 20)(_signed_place)
 
-    def place(self, feature: str) -> tuple[int, float]:
-        got = self.known.get(feature)
-        if got is None:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-            got = self.known[feature] = (h % self.dim, 1.0 if h >> 63 else -1.0)
-        return got
 
-    def embed(self, text: str | None) -> np.ndarray:
-        v = np.zeros(self.dim, np.float32)
-        at = [self.place(f) for f in self.features(text or "")]
-        if at:
-            np.add.at(v, [i for i, _ in at], np.array([s for _, s in at], np.float32))
-        n = np.linalg.norm(v)
-        return v / n if n > 0 else v
+def feature_vector(text: str | None, dim: int = 512) -> np.ndarray:
+    """Signed feature hashing of a text, of length 1.
 
+    Fixed by what other stores hold: words of two or more of ``a-z0-9``, alone
+    (``w:``) and in pairs, and the 3- to 5-letter pieces (``c:``) of each between
+    ``^`` and ``$``; a feature's bucket is its 8-byte blake2b modulo ``dim``, its
+    sign that hash's top bit."""
+    words = re.findall("[a-z0-9]{2,}", (text or "").lower())
+    named = [f"w:{w}" for w in words] + [f"w:{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    for w in words:
+        edged = f"^{w}$"
+        named += [f"c:{edged[i : i + n]}" for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
+    if not named:
+        return np.zeros(dim, np.float32)
+    at, sign = zip(*(_place(f, dim) for f in named), strict=True)
+    v = np.bincount(at, weights=sign, minlength=dim).astype(np.float32)
+    norm = np.linalg.norm(v)
+    return v / norm if norm > 0 else v
 
-def hashing_embed(text: Column, dim: int = 512) -> Column:
-    embedder: list[HashingEmbedder] = []
 
+def hashing_embed(text: Column, dim: int = 512) -> Column:
     @pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        if not embedder:
-            embedder.append(HashingEmbedder(dim))
-        return s.map(embedder[0].embed)
+        return s.map(lambda t: feature_vector(t, dim))
 
     return run(text)

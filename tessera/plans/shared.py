@@ -13,11 +13,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests,
-    one machine), a temporary folder of this process that goes at exit."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset on one
+    machine (tests), a temporary folder of this process that goes at exit. On a
+    cluster, whose executors would not see that, an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

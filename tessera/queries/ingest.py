@@ -81,7 +81,7 @@ def concise_snippet(spark, sf_dir):
 
 @query(f"WITH {FILES_SQL}, n AS (SELECT DISTINCT folder, path, name FROM files), l AS (SELECT folder, count(*) AS n, list_sort(list(name))[1:13] AS names FROM n GROUP BY folder) SELECT folder, n, list_aggregate(names, 'string_agg', ', ') AS names FROM l")
 def folder_siblings(spark, sf_dir):
-    return siblings(files(spark, sf_dir))
+    return siblings(files(spark, sf_dir)).withColumn("names", F.array_join("names", ", "))
 
 
 _DOCS = f"{MEMORIES_SQL}, docs AS (SELECT id AS doc_id, folder, CAST(1704067200 + id * 7919 % 60000 AS DOUBLE) AS mtime FROM memories), b AS (SELECT *, CAST(floor(mtime / 86400) AS BIGINT) AS bucket FROM docs)"

@@ -101,10 +101,10 @@ def vector_recall_by_label(spark, sf_dir):
 @query()
 def hashing_embed_top_k(spark, sf_dir):
     """Documents by the feature-hashing embedder's cosine with the query text."""
-    from tessera.operators.vector import HashingEmbedder
+    from tessera.operators.vector import feature_vector
 
     v = memories(spark, sf_dir).select("id", hashing_embed(F.col("content")).alias("vector"))
-    return cosine_top_k(v, HashingEmbedder().embed(TEXT).tolist(), K)
+    return cosine_top_k(v, feature_vector(TEXT).tolist(), K)
 
 
 def _two(spark, sf_dir):

@@ -44,6 +44,11 @@ class Documents:
     eps: float = 0.35
     bucket: float = 86400.0
     block_cap: int = 2000
+    enabled: bool = True
+    by_folder: bool = True
+    fallback: bool = True
+    fallback_max: int = 8
+    label_kind: bool = True
 
 
 @dataclass(frozen=True)

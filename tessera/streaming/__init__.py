@@ -1 +1 @@
-
+"""The incremental jobs as streams; each batch is the batch operator's own transition."""
