@@ -160,13 +160,14 @@ def window(since: str | None, start: datetime | None, end: datetime | None, now:
 def timeline(rows: DataFrame, start: datetime, end: datetime, limit: int, grouped: bool = False) -> DataFrame:
     """Rows (valid_from, session_id, segment_index) in the window, both ends
     in, newest first; ``grouped`` puts a session's rows together where its
-    first one stands, in order. ``limit`` is the report's length."""
+    first one stands, in order, and tells each its ``place`` there. ``limit`` is the report's length."""
     got = rows.where(F.col("valid_from").between(F.lit(start), F.lit(end))).orderBy(F.desc("valid_from"), "session_id", "segment_index").limit(limit)
     if not grouped:
         return got
     w = Window.orderBy(F.desc("valid_from"), "session_id", "segment_index")
     ranked = got.withColumn("_r", F.row_number().over(w))
-    return ranked.withColumn("_g", F.min("_r").over(Window.partitionBy("session_id"))).orderBy("_g", "segment_index").drop("_r", "_g")
+    ranked = ranked.withColumn("_g", F.min("_r").over(Window.partitionBy("session_id")))
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_g", "segment_index"))).orderBy("place").drop("_r", "_g")
 
 
 def search(records: DataFrame, query: str, now: datetime, repo: str | None = None, since: str | None = None, limit: int = 10) -> DataFrame:

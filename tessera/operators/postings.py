@@ -120,7 +120,7 @@ class Index:
 def write_index(records: DataFrame, path: str, id_col: str = "id", content: str = "content") -> Index:
     """Index ``records`` under ``path``: every text is cut once, its words are
     counted before they are shuffled, and only distinct words are stemmed."""
-    tokens = F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     toks = records.select(F.col(id_col).alias("id"), tokens.alias("t"))
     toks.select("id", F.size("t").cast("long").alias("dl")).write.parquet(f"{path}/lengths")
     words = toks.select("id", F.explode("t").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))

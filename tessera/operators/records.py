@@ -123,8 +123,8 @@ def partial_update(records: DataFrame, changes: DataFrame, now: str, embed: Embe
 
 
 def _columns_of(check: str) -> list[str]:
-    names = [f.split(" ")[0] for f in MEMORIES.replace("\n", " ").split(", ")]
-    return [n.strip() for n in names if n.strip() and n.strip() in check.replace("(", " ").replace(")", " ").split()]
+    names = [f.split()[0] for f in MEMORIES.split(",")]
+    return [n for n in names if n in check.replace("(", " ").replace(")", " ").split()]
 
 
 def missing(records: DataFrame, changes: DataFrame) -> DataFrame:

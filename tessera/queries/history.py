@@ -104,11 +104,37 @@ def timeline(spark, sf_dir):
 
 @query(f"WITH {_TIMELINE} SELECT session_id, segment_index, row_number() OVER (ORDER BY min_r, segment_index) AS place FROM (SELECT *, min(r) OVER (PARTITION BY session_id) AS min_r FROM tl)")
 def timeline_grouped(spark, sf_dir):
-    from pyspark.sql import Window
+    got = H.timeline(_lines(spark, sf_dir), datetime.fromisoformat(_FROM), datetime.fromisoformat(_TO), 50, grouped=True)
+    return got.select("session_id", "segment_index", F.col("place").cast("long").alias("place"))
 
-    got = H.timeline(_lines(spark, sf_dir), datetime.fromisoformat(_FROM), datetime.fromisoformat(_TO), 50)
-    r = got.withColumn("r", F.row_number().over(Window.orderBy(F.desc("valid_from"), "session_id", "segment_index"))).withColumn("g", F.min("r").over(Window.partitionBy("session_id")))
-    return r.select("session_id", "segment_index", F.row_number().over(Window.orderBy("g", "segment_index")).cast("long").alias("place"))
+
+# The same, and a private key, within texts.
+_PEM = "-----BEGIN RSA PRIVATE KEY-----" + "\n" + "MIIabc" + "\n" + "-----END RSA PRIVATE KEY-----"
+_ALL = f"{_PEM}\n{_PLANTED}"
+_SQL_ALL = "'" + _ALL.replace("\n", "' || chr(10) || '") + "'"
+_IN_TEXT = f"coalesce(text, '') || chr(10) || {_SQL_ALL} || chr(10) || coalesce(text, '')"
+
+
+@query(f"SELECT doc_id, sha256({_redact_sql(_IN_TEXT)}) AS text_sha256 FROM documents")
+def redaction_documents(spark, sf_dir):
+    """Every document's whole text with one secret of each kind in its middle."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact(F.concat(t, F.lit("\n" + _ALL + "\n"), t)), 256).alias("text_sha256"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{label}' AS label, CAST(sum(len(regexp_extract_all({_IN_TEXT}, '{p.replace('(?!' + chr(92) + '[REDACTED:)', '')}'))) AS BIGINT) AS n FROM documents" for label, p in SECRETS.items()))
+def secret_scan_documents(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    whole = F.concat(t, F.lit("\n" + _ALL + "\n"), t)
+    one = table(spark, sf_dir, "documents").agg(*[F.sum(c).alias(label) for label, c in secret_counts(whole).items()])
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(x).alias("n")) for x in SECRETS]))
+    return one.select(pairs.alias("p")).select("p.label", F.col("p.n").cast("long").alias("n"))
+
+
+@query(f"WITH {_CONV} SELECT session_id, seq, {_kind_sql('text')} AS kind FROM t")
+def kind_turns(spark, sf_dir):
+    """The kind of every turn of the conversations."""
+    return _ascii_turns(spark, sf_dir).select("session_id", "seq", kind(F.col("text")).alias("kind"))
 
 
 @query(f"WITH {_LINES} SELECT coalesce(kind, '*') AS kind, count(DISTINCT session_id) AS sessions, count(*) AS segments, strftime(min(valid_from), '%Y-%m-%d') AS first_day, strftime(max(valid_from), '%Y-%m-%d') AS last_day FROM lines GROUP BY ROLLUP (kind)")

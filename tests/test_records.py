@@ -272,3 +272,69 @@ def test_small_functions(spark):
     assert (emb[0] == emb[1]).all() and abs(float((emb[0] ** 2).sum()) - 1) < 1e-6 and not emb[2].any() and not emb[3].any()
     with pytest.raises(ValueError):
         state.Snapshots(spark, "/x/", forbidden=("/x",))
+
+
+def test_entities_of_real_text(spark):
+    """The expression against the same rule in Python, over texts as they are."""
+    import re
+
+    from tessera.functions.text import CAP_PHRASE, CAP_WORD, QUOTED, STOP_WORDS
+
+    def plain(t):
+        found = [m[0] for m in re.finditer(CAP_PHRASE, t)] + [m[0] for m in re.finditer(CAP_WORD, t)] + [m[1] for m in re.finditer(QUOTED, t)]
+        keys = [k for k in (x.lower().strip() for x in found) if len(k) >= 2 and k not in STOP_WORDS]
+        return list(dict.fromkeys(keys))[:24]
+
+    extra = [(-1, 'ÉAlpha Übung Straße Beta Gamma "é x" ÑB Cñ D E')]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = docs.select("doc_id", "text", T.entities(F.col("text")).alias("e")).collect()
+    assert sum(not r.text.isascii() for r in got) > 20
+    for r in got:
+        assert r.e == plain(r.text), r.doc_id
+
+
+def test_chunks_are_the_fold(spark):
+    def fold(text, hard):
+        out, buf = [], ""
+        for p in (x.strip(" \t\n\r\f\x0b") for x in text.strip(" \t\n\r\f\x0b").split("\n\n")):
+            if not p:
+                continue
+            if len(p) > hard:
+                out += [buf] if buf else []
+                out += [p[i : i + hard] for i in range(0, len(p), hard)]
+                buf = ""
+            elif buf and len(buf) + 2 + len(p) > hard:
+                out, buf = [*out, buf], p
+            else:
+                buf = f"{buf}\n\n{p}" if buf else p
+        return out + ([buf] if buf else [])
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts = ["\n\n".join(t[i : i + 180] for i in range(0, len(t), 180)) for t in texts[:80]] + ["", "\n\n", "a\n\n\n\nb", "é" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for hard in (400, 150):
+        got = {r.i: r.k for r in df.select("i", T.chunks(F.col("t"), hard).alias("k")).collect()}
+        assert all(got[i] == fold(t, hard) for i, t in enumerate(texts))
+
+
+def test_hashing_embedder_is_the_plain_sum(spark):
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from tessera.operators.vector import feature_vector
+
+    def plain(text, dim):
+        toks = [t for t in re.split("[^a-z0-9]+", text.lower()) if len(t) >= 2]
+        feats = ["w:" + t for t in toks] + ["w:" + " ".join(toks[i : i + 2]) for i in range(len(toks) - 1)]
+        feats += ["c:" + f"^{t}$"[i : i + n] for t in toks for n in (3, 4, 5) for i in range(len(t) + 3 - n)]
+        v = np.zeros(dim)
+        for f in feats:
+            h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+            v[h % dim] += 1 if h >> 63 else -1
+        n = np.linalg.norm(v)
+        return v / n if n else v
+
+    for t in ("Kafka broker, the Broker!", "a bb ccc", "", "x", "Ünïcode straße 12 3", "aa.bb aa"):
+        assert np.allclose(feature_vector(t, 64), plain(t, 64), atol=1e-6)
