@@ -44,6 +44,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def cell(docs: DataFrame, name: str) -> Column:
+    """A column by its name, whatever is in it."""
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Only (k, text): extra columns go, whatever their names; null ids get NULL_KEY."""
     small_batches(docs)
@@ -133,7 +138,7 @@ def with_measures(docs: DataFrame, schema: str, make: Callable[[], Callable[[lis
     A row goes through Python once, with its text in it; ``text`` need not be a string."""
     small_batches(docs)
     odd = dict(docs.dtypes)["text"] != "string"
-    own = [docs[c] for c in docs.columns] + [docs["text"].cast("string")] * odd
+    own = [cell(docs, c) for c in docs.columns] + [docs["text"].cast("string")] * odd
     rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(own)])
     made = StructType.fromDDL(schema)
     out = StructType([StructField(row, docs.schema, False), *made.fields])
