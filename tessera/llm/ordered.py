@@ -55,5 +55,5 @@ class Buckets:
 
     def lookup(self, values: list[int | None]) -> Column:
         """A value of the row's bucket."""
-        table = F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").cast("array<long>")
+        table = F.transform(F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ","), lambda x: x.try_cast("long"))
         return F.get(table, F.col("bucket").cast("int"))
