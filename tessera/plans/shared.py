@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     statistics for its choice of join.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{tag}"
+    home = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{home}/{tag}"
+    _written.append(home)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written so far; how many there
+    were. To be called when results that read them have been written out."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

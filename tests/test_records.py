@@ -338,3 +338,12 @@ def test_hashing_embedder_is_the_plain_sum(spark):
 
     for t in ("Kafka broker, the Broker!", "a bb ccc", "", "x", "Ünïcode straße 12 3", "aa.bb aa"):
         assert np.allclose(feature_vector(t, 64), plain(t, 64), atol=1e-6)
+
+
+def test_tables_are_released(spark):
+    from tessera.plans import shared
+
+    df = shared.materialize(spark.range(3), "t")
+    assert df.count() == 3 and shared.release(spark) >= 1 and shared.release(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|No such file|PATH_NOT_FOUND"):
+        df.selectExpr("sum(id)").collect()
