@@ -28,26 +28,40 @@ def tokens(content):
     return F.filter(F.split(F.lower(content), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def word_counts(content, terms: list[tuple[str, bool]]) -> list[Column]:
-    """Length in tokens, then the places of every term: whole tokens, or the beginnings of tokens."""
-    low = F.lower(content)
-    places = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){re.escape(t)}" + ("" if pre else "(?![a-z0-9])"))) for t, pre in terms]
-    return [F.regexp_count(low, F.lit("[a-z0-9]+")), *places]
+def spread(content) -> Column:
+    """The tokens of a text with one space between two."""
+    return F.trim(F.regexp_replace(F.lower(content), "[^a-z0-9]+", " "))
 
 
-def trigram_counts(content, terms: list[str]) -> list[Column]:
-    """Length in trigrams, then every term's places, overlapping ones too."""
-    low = F.lower(content)
-    return [F.greatest(F.length(content) - 2, F.lit(0)), *[F.regexp_count(low, F.lit(f"(?={re.escape(t)})")) for t in terms]]
+def _places(text, piece: str) -> Column:
+    """How often a piece stands in a text, without a regular expression; for pieces whose places cannot overlap."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
 
 
-def counted(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> tuple[DataFrame, int, int]:
+def word_counts(words, terms: list[tuple[str, bool]]) -> list[Column]:
+    """Length in tokens, then the places of every term in ``spread`` words: whole tokens, or the beginnings of tokens."""
+    wide = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    size = F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+    return [size, *[_places(wide, f" {t}" if pre else f" {t} ") for t, pre in terms]]
+
+
+def trigram_counts(low, terms: list[str]) -> list[Column]:
+    """Length in trigrams, then every term's places in a lower-case text, overlapping ones too."""
+    apart = lambda t: all(t[:i] != t[-i:] for i in range(1, len(t)))
+    return [F.greatest(F.length(low) - 2, F.lit(0)), *[_places(low, t) if apart(t) else F.regexp_count(low, F.lit(f"(?={re.escape(t)})")) for t in terms]]
+
+
+def counted(records: DataFrame, words: list[tuple[str, bool]], grams: list[str], id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, dl, f0, ..., tl, g0, ...) of every record, written once: the one pass
-    over the texts that both rankings need. Then how many f and g there are."""
-    words, grams = query_terms(query), trigram_terms(query)
-    cells = [c.alias(n) for c, n in zip(word_counts(F.col(content), words), ["dl", *(f"f{i}" for i in range(len(words)))], strict=True)]
-    cells += [c.alias(n) for c, n in zip(trigram_counts(F.col(content), grams), ["tl", *(f"g{i}" for i in range(len(grams)))], strict=True)]
-    return materialize(records.select(F.col(id_col).alias("id"), *cells), "counts"), len(words), len(grams)
+    over the texts that the rankings need."""
+    rows = records.select(F.col(id_col).alias("id"), spread(F.col(content)).alias("_w"), F.lower(content).alias("_l"))
+    cells = [c.alias(n) for c, n in zip(word_counts(F.col("_w"), words), ["dl", *_names("f", words)], strict=True)] if words else []
+    cells += [c.alias(n) for c, n in zip(trigram_counts(F.col("_l"), grams), ["tl", *_names("g", grams)], strict=True)] if grams else []
+    return materialize(rows.select("id", *cells), "counts")
+
+
+def _names(letter: str, terms: list) -> list[str]:
+    return [f"{letter}{i}" for i in range(len(terms))]
 
 
 def _score(rows: DataFrame, length: str, terms: list[str]) -> DataFrame:
@@ -70,26 +84,23 @@ def _score(rows: DataFrame, length: str, terms: list[str]) -> DataFrame:
 
 def both(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
     """The rankings by words and by substrings, from one pass over the texts."""
-    rows, n, m = counted(records, query, id_col, content)
-    return _score(rows, "dl", [f"f{i}" for i in range(n)]), _score(rows, "tl", [f"g{i}" for i in range(m)])
+    words, grams = query_terms(query), trigram_terms(query)
+    rows = counted(records, words, grams, id_col, content)
+    return _score(rows, "dl", _names("f", words)), _score(rows, "tl", _names("g", grams))
 
 
 def bm25(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, score) of every record with a term. Prefix terms count every token they begin."""
     terms = query_terms(query)
-    names = ["dl", *(f"f{i}" for i in range(len(terms)))]
-    cells = [c.alias(x) for c, x in zip(word_counts(F.col(content), terms), names, strict=True)]
-    rows = records.select(F.col(id_col).alias("id"), *cells)
-    return _score(materialize(rows, "counts") if terms else rows, "dl", names[1:])
+    rows = counted(records, terms, [], id_col, content) if terms else records.select(F.col(id_col).alias("id"))
+    return _score(rows, "dl", _names("f", terms))
 
 
 def trigram(records: DataFrame, query: str, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, score) by substrings: f counts overlapping places, the length is that of the trigrams."""
     terms = trigram_terms(query)
-    names = ["tl", *(f"g{i}" for i in range(len(terms)))]
-    cells = [c.alias(x) for c, x in zip(trigram_counts(F.col(content), terms), names, strict=True)]
-    rows = records.select(F.col(id_col).alias("id"), *cells)
-    return _score(materialize(rows, "counts") if terms else rows, "tl", names[1:])
+    rows = counted(records, [], terms, id_col, content) if terms else records.select(F.col(id_col).alias("id"))
+    return _score(rows, "tl", _names("g", terms))
 
 
 def top(scored: DataFrame, n: int, *, by: str = "score", ascending: bool = False) -> DataFrame:

@@ -347,3 +347,22 @@ def test_tables_are_released(spark):
     assert df.count() == 3 and shared.release(spark) >= 1 and shared.release(spark) == 0
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|No such file|PATH_NOT_FOUND"):
         df.selectExpr("sum(id)").collect()
+
+
+def test_rankings_count_what_tokens_say(spark):
+    """Counts by replacing against counts over token lists and over places."""
+    import re
+
+    from tessera.operators import lexical as L
+
+    texts = ["a a a b", "the then other the", "", "aaa aa AAAA a1", "ana banana anana", "é a-a_a", " lead a", "x" * 50, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    words, grams = [("a", False), ("the", True), ("aa", True), ("ana", False)], ["ana", "the", "aaa"]
+    for r in L.counted(df, words, grams).collect():
+        t = texts[r.id]
+        if t is None:
+            assert r.dl is None
+            continue
+        toks = re.findall("[a-z0-9]+", t.lower())
+        assert r.dl == len(toks) and [r[f"f{i}"] for i in range(4)] == [sum(x.startswith(w) if pre else x == w for x in toks) for w, pre in words], t
+        assert [r[f"g{i}"] for i in range(3)] == [len(re.findall(f"(?={g})", t.lower())) for g in grams], t
