@@ -130,7 +130,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_neighbours(docs: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
+def with_neighbours(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     """Every row beside the next one in descending doc_id (after the last: the first).
 
     doc_id, text, edited (the last third of the text replaced by the beginning
