@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import materialize
+from tessera.plans.shared import materialize, over_cores
 
 K1, B = 1.2, 0.75
 
@@ -54,7 +54,8 @@ def trigram_counts(low, terms: list[str]) -> list[Column]:
 def counted(records: DataFrame, words: list[tuple[str, bool]], grams: list[str], id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, dl, f0, ..., tl, g0, ...) of every record, written once: the one pass
     over the texts that the rankings need."""
-    rows = records.select(F.col(id_col).alias("id"), spread(F.col(content)).alias("_w"), F.lower(content).alias("_l"))
+    texts = over_cores(records.select(F.col(id_col).alias("id"), F.col(content).alias("_c")))
+    rows = texts.select("id", spread(F.col("_c")).alias("_w"), F.lower("_c").alias("_l"))
     cells = [c.alias(n) for c, n in zip(word_counts(F.col("_w"), words), ["dl", *_names("f", words)], strict=True)] if words else []
     cells += [c.alias(n) for c, n in zip(trigram_counts(F.col("_l"), grams), ["tl", *_names("g", grams)], strict=True)] if grams else []
     return materialize(rows.select("id", *cells), "counts")

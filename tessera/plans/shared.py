@@ -43,6 +43,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """``df`` for work that costs far more than moving its rows: a table that
+    lies in fewer pieces than there are cores (one small file, say) is dealt
+    over them; any larger one stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this process has written so far; how many there
     were. To be called when results that read them have been written out."""

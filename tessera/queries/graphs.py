@@ -8,7 +8,7 @@ from tessera.functions.text import CAP_PHRASE, CAP_WORD, QUOTED, STOP_WORDS, asc
 from tessera.operators import graph
 from tessera.operators.components import connected_components
 from tessera.operators.search import with_notes
-from tessera.plans.shared import materialize
+from tessera.plans.shared import materialize, over_cores
 from tessera.queries import query
 from tessera.settings import Links
 from tessera.sources.tables import EDGES_SQL, MEMORIES_SQL, edges, memories, table
@@ -26,7 +26,7 @@ PAIRS_SQL = CAPPED_SQL + """, pr AS (SELECT a.id AS id1, b.id AS id2, count(*) A
 
 
 def records(spark, sf_dir):
-    m = memories(spark, sf_dir)
+    m = over_cores(memories(spark, sf_dir).select("id", "content", "is_active", "is_archived"))
     return m.withColumn("entity_ids", entities(ascii_only(F.col("content")))).select("id", "content", "entity_ids", "is_active", "is_archived")
 
 
