@@ -2,11 +2,12 @@
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Windows of 50 bytes as hexadecimal text; a byte goes if its window's least document is a smaller one.
+#: Windows of 50 bytes as hexadecimal text, taken from parts of 500 windows, as substr counts from the start; a byte goes if its window's least document is a smaller one.
 OP2 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
  n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
- w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n_bytes - 49))) AS p FROM n)),
+ part AS (SELECT doc_id, n_bytes, q, substr(h, 2 * q + 1, 1098) AS h FROM (SELECT doc_id, h, n_bytes, unnest(range(0, greatest(0, n_bytes - 49), 500)) AS q FROM n)),
+ w AS (SELECT doc_id, q + i AS p, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, q, unnest(range(0, least(500, n_bytes - 49 - q))) AS i FROM part)),
  least AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
  hit AS (SELECT w.doc_id, w.p FROM w JOIN least USING (g) WHERE least.m < w.doc_id),
  cut AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
