@@ -23,8 +23,10 @@ from tessera.llm.bpe import byte_letters
 
 #: Letters that all libraries lower-case alike and none composes (the dotted I and the apostrophe n go).
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏ"
+#: Those of them that are still among them in lower case: some capitals leave.
+_STAYING = "".join(c for c in map(chr, range(0x80, 0x250)) if re.fullmatch(f"[{_LETTERS}]", c) and re.fullmatch(f"[{_LETTERS}]+", c.lower()))
 #: What the word-end coder covers: those letters, ASCII but for 0x01 and the rarer spaces, common signs.
-_COVERED = re.compile(rf"[\t\n\r\x00\x02-\x08\x0e-\x1b\x20-\x7f{_LETTERS}¡¿«»°§–—‘’“”…]*")
+_COVERED = re.compile(rf"[\t\n\r\x00\x02-\x08\x0e-\x1b\x20-\x7f{_STAYING}¡¿«»°§–—‘’“”…]*")
 #: Texts of these need no search for odd characters.
 _SAFE = re.compile(r"[\t\n\r\x00-\x08\x0e-\x1b\x20-\x7f¡-¬®-ɏ–—‘’“”…]*")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r0-9{_LETTERS}]+").findall

@@ -341,3 +341,14 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     one = [r for r in left if r[0] == 1]
     assert len(one) == 1 and one[0] in {(1, t[4]), (1, near[4])}
     assert [r for r in left if r[0] != 1] == sorted([(None, t[0]), (None, t[1]), (None, None), (None, None), (3, t[2]), (3, t[3]), (4, near[5]), (6, None)], key=str)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_character_of_the_plane(name):
+    """Alone, before and within a word, as it is, upper and lower: the library's ids."""
+    own, lib = Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
+    for first in range(0, 0x10000, 0x1000):
+        chars = [c for c in map(chr, range(first, first + 0x1000)) if not 0xD800 <= ord(c) < 0xE000]
+        texts = [t for c in chars for t in {c, c.upper() + "li ve " + c.lower() + "li", "an" + c + "la", "x " + c.upper()}]
+        want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, a, b in zip(texts, own.encode_batch(texts), want, strict=True) if a != b] == []
