@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, sql, toxicity
+from tessera.llm.audit import interactions
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import compared, with_neighbours
 from tessera.llm.language import held_out, identify, learn, prototypes
@@ -87,13 +88,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders. Null texts are empty, null languages a part of their own."""
+    return interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries():
     import corpus_pipeline
 
-    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints)
+    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokens, files, models and hashes of chunks have no SQL form; their queries are held against brute force in the tests."""
-    return {"op2_suffix_dedup": sql.OP2, "op4_minhash": sql.OP4, "op9_urls": sql.OP9}
+    return {"op2_suffix_dedup": sql.OP2, "op4_minhash": sql.OP4, "op9_urls": sql.OP9, "op13_filter_audit": sql.OP13}

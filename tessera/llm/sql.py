@@ -56,3 +56,28 @@ WITH RECURSIVE rules(host, path, allow) AS (VALUES ('com', '/', true), ('example
 SELECT p.page_id, p.host, p.path, own.rule, CASE WHEN own.allow THEN 'allow' WHEN NOT own.allow THEN 'block' WHEN alias.good THEN 'allow' WHEN alias.bad THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN own USING (page_id) LEFT JOIN alias ON alias.node = p.node
 """
+
+#: Failed filters as letters; documents of like failures and labels are counted before they meet the orders.
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ least AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+ l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+   CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least.m THEN 'E' ELSE '' END AS bad
+  FROM d JOIN least USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+ g AS (SELECT part, good, toxic, bad, count(*) AS n FROM f GROUP BY ALL),
+ a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p JOIN a q ON q.x <> p.x JOIN a r ON r.x NOT IN (p.x, q.x) JOIN a s ON s.x NOT IN (p.x, q.x, r.x) JOIN a t ON t.x NOT IN (p.x, q.x, r.x, s.x)),
+ c AS (SELECT *, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before, substr(filter_order, 1, step) AS upto FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+ s AS (SELECT part, filter_order, step, filter, sum(CASE WHEN translate(upto, bad, '') = upto THEN n ELSE 0 END) AS kept,
+   sum(CASE WHEN contains(bad, filter) AND translate(before, bad, '') = before THEN n ELSE 0 END) AS removed,
+   sum(CASE WHEN contains(bad, filter) AND translate(before, bad, '') <> before THEN n ELSE 0 END) AS redundant,
+   sum(CASE WHEN bad = filter THEN n ELSE 0 END) AS unique_fails,
+   sum(CASE WHEN contains(bad, filter) AND translate(before, bad, '') = before THEN n * good ELSE 0 END) AS good_lost,
+   sum(CASE WHEN contains(bad, filter) AND translate(before, bad, '') = before THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM g, c GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s
+"""
