@@ -13,6 +13,7 @@ from tessera.llm.fingerprints import compared, with_neighbours
 from tessera.llm.language import held_out, identify, learn, prototypes
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
+from tessera.llm.phrases import collocations
 from tessera.llm.quality import judged
 from tessera.llm.rans import encode_files, read_documents
 from tessera.llm.repeats import remove_repeats
@@ -88,6 +89,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to five words. Null texts have no words, null languages are und."""
+    return collocations(read_table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in all 120 orders. Null texts are empty, null languages a part of their own."""
     return interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -96,10 +102,10 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     import corpus_pipeline
 
-    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints, op13_filter_audit)
+    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints, op12_phrases, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokens, files, models and hashes of chunks have no SQL form; their queries are held against brute force in the tests."""
-    return {"op2_suffix_dedup": sql.OP2, "op4_minhash": sql.OP4, "op9_urls": sql.OP9, "op13_filter_audit": sql.OP13}
+    return {"op2_suffix_dedup": sql.OP2, "op4_minhash": sql.OP4, "op9_urls": sql.OP9, "op12_phrases": sql.OP12, "op13_filter_audit": sql.OP13}

@@ -81,3 +81,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, r
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s
 """
+
+#: All phrases of one to five words, their cuts in 128 bits, longer ones that hold them.
+OP12 = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+ n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+ s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS a FROM s, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+ x AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+ y AS (SELECT x.lang, x.k, x.phrase, x.a, x.j, f.a AS l, r.a AS r, n.n, (1000 * x.a * n.n) // (f.a * r.a) AS score FROM x JOIN n USING (lang)
+  JOIN g f ON f.lang = x.lang AND f.phrase = array_to_string(x.w[1:x.j], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.j + 1:x.k], ' ')),
+ b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ m AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND q.k > b.k AND 100 * q.a >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))),
+ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""
