@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, sql, toxicity
+from tessera.llm import bpe, scoring, sql, toxicity
 from tessera.llm.audit import interactions
-from tessera.llm.common import read_table
+from tessera.llm.common import NULL_KEY, read_table
 from tessera.llm.fingerprints import compared, with_neighbours
 from tessera.llm.language import held_out, identify, learn, prototypes
 from tessera.llm.minhash import near_duplicates
@@ -89,6 +89,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of texts by word counts and by attention. Null texts are their end alone; null ids are in training."""
+    train = ~held_out(F.nullif("k", F.lit(NULL_KEY)), 10, 0)
+    rows = scoring.scored(read_table(spark, sf_dir, "documents"), train, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's best phrases of two to five words. Null texts have no words, null languages are und."""
     return collocations(read_table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
@@ -102,7 +109,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     import corpus_pipeline
 
-    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints, op12_phrases, op13_filter_audit)
+    own = (op1_packing, op2_suffix_dedup, op3_rans_output, op4_minhash, op5_language, op6_quality, op7_bpe, op8_toxicity, op9_urls, op10_fingerprints, op11_lm_scoring, op12_phrases, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
