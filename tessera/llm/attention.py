@@ -19,8 +19,8 @@ WINDOW, STRIDE = 24, 12
 GROUPS, SLOTS, WIDTH = 32, 32, 24
 #: Neighbours that a profile tells apart, without the rest.
 NEIGHBOURS = 32
-#: Windows of a step, and of the pool that steps draw from.
-BATCH, POOL = 128, 4096
+#: Windows of the pool that steps draw from.
+POOL = 2048
 #: Counts of an unseen id.
 UNSEEN = 0.01
 
@@ -226,10 +226,11 @@ def gradient(m: Model, g: Model, x: np.ndarray, group: np.ndarray, slot: np.ndar
 
 
 class Trainer:
-    """Adam over windows as they come, from given parameters."""
+    """Adam over windows as they come, ``batch`` a step, from given parameters.
+    The rate rises over the first ``warm`` steps, until the moments mean something."""
 
-    def __init__(self, vector: np.ndarray, units: Units, rate: float, seed: int) -> None:
-        self.model, self.units, self.rate = Model(vector.copy()), units, rate
+    def __init__(self, vector: np.ndarray, units: Units, rate: float, batch: int, warm: int, seed: int) -> None:
+        self.model, self.units, self.rate, self.batch, self.warm = Model(vector.copy()), units, rate, batch, warm
         self.grad = Model(np.zeros_like(vector))
         self.m, self.v, self.t = np.zeros_like(vector), np.zeros_like(vector), 0
         self.rng, self.held, self.n_held, self.tokens = np.random.default_rng(seed), [], 0, 0
@@ -240,7 +241,7 @@ class Trainer:
         self.m += f32(0.1) * (g - self.m)
         np.multiply(g, g, out=g)
         self.v += f32(0.005) * (g - self.v)
-        rate = self.rate * min(1.0, self.t / 30) / (1 - 0.9**self.t)
+        rate = self.rate * min(1.0, self.t / self.warm) / (1 - 0.9**self.t)
         np.sqrt(self.v / f32(1 - 0.995**self.t), out=g)
         g += f32(1e-8)
         np.divide(self.m, g, out=g)
@@ -256,8 +257,8 @@ class Trainer:
             x = self.units.unit[ids[: n * WINDOW]].reshape(n, WINDOW)
             y = ids[1 : n * WINDOW + 1].reshape(n, WINDOW)
             order = self.rng.permutation(n)
-            for i in range(0, n, BATCH):
-                own = order[i : i + BATCH]
+            for i in range(0, n, self.batch):
+                own = order[i : i + self.batch]
                 self.step(x[own], y[own])
             ids = ids[n * WINDOW :]
         self.held, self.n_held = [ids], len(ids)

@@ -33,9 +33,11 @@ from tessera.plans.shared import materialize, over_cores
 
 #: A chunk ends when it has so many words, or so many distinct ones.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 400_000
-#: Round i learns from documents whose hash falls into its share of 256; learning rates end low.
+#: Round i learns from documents whose hash falls into its share of 256, with a
+#: learning rate and windows a step; small steps come first, low rates last.
 ROUNDS = (0, 2, 4, 8, 16, 32, 64, 128, 256)
-RATES = (0.01, 0.01, 0.01, 0.01, 0.008, 0.006, 0.004, 0.002)
+RATES = (0.02, 0.02, 0.02, 0.02, 0.015, 0.01, 0.006, 0.003)
+BATCHES = (16, 16, 16, 16, 32, 32, 64, 128)
 #: Sums of parameters are added up by so many a task until no more are left.
 FAN = 32
 
@@ -228,12 +230,12 @@ def learn(texts: DataFrame, size: int, end: int) -> tuple[attention.Units, np.nd
     units = attention.units_of(counts, neighbours(texts, counts))
     vector = attention.Model.start(counts, units).vector
     share = F.pmod(F.xxhash64("chunk", "place"), F.lit(ROUNDS[-1]))
-    for i, rate in enumerate(RATES):
+    for i, (rate, batch) in enumerate(zip(RATES, BATCHES, strict=True)):
         sent = sc.broadcast((units, vector))
 
-        def run(batches: Iterator[pa.RecordBatch], i=i, rate=rate, sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], i=i, rate=rate, batch=batch, sent=sent) -> Iterator[pa.RecordBatch]:
             units, vector = sent.value
-            trainer = attention.Trainer(vector, units, rate, seed=i)
+            trainer = attention.Trainer(vector, units, rate, batch, warm=10 if i else 30, seed=i)
             for b in batches:
                 for x in b.column("ids"):
                     trainer.add(np.frombuffer(x.as_buffer(), "<u2").astype(np.int64), end)

@@ -24,8 +24,7 @@ def sync_store(spark: SparkSession, agent: str, root: str, store: Snapshots, now
     read = read_sessions(spark, agent, root)
     files = file_state(spark, read.sessions.select(F.col("source_path").alias("path")))
     after, seen, report = sync(read, records, manifest, files, now, s, **how)
-    store.write("records", after)
-    store.write("manifest", seen)
+    store.commit({"records": after, "manifest": seen})
     return report
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.consolidate import run_full
 from tessera.operators.state import Snapshots
+from tessera.plans.shared import materialize
 
 log = logging.getLogger(__name__)
 
@@ -24,9 +25,8 @@ def consolidate_store(store: Snapshots, now: str, summarizer: Callable[[str, lis
     contradicts = records.select("id", F.posexplode("contradicts_ids").alias("pos", "other"))
     out = run_full(records, links, summaries, contradicts, now, summarizer, **hooks)
     new = out["links"].select(*[c for c in links.columns if c in out["links"].columns])
-    store.write("links", links.unionByName(new, allowMissingColumns=True))
-    store.write("summaries", out["summaries"].select(*summaries.columns))
-    store.write("records", out["records"].select(*records.columns))
+    tables = {"links": links.unionByName(new, allowMissingColumns=True), "summaries": out["summaries"].select(*summaries.columns), "records": out["records"].select(*records.columns)}
+    store.commit({name: materialize(df, name) for name, df in tables.items()})  # evaluated once, as ids are drawn in them
     return out
 
 

@@ -68,8 +68,7 @@ def index_tree(spark: SparkSession, root: str, store: Snapshots, now: str, colle
     manifest = empty(spark, MANIFEST) if manifest is None else manifest
     texts = read_text(spark, root).select("path", "text") if mode == "content" else None
     after, seen, report = index_files(listing(spark, root, include, exclude), records, manifest, now, collection, root.rstrip("/").rsplit("/", 1)[-1], texts, mode)
-    store.write("records", after)
-    store.write("manifest", seen)
+    store.commit({"records": after, "manifest": seen})
     return report
 
 
