@@ -1,16 +1,17 @@
-"""A written index of stemmed words, and keyword ranking over it."""
+"""Words as full-text search sees them: cut, folded, stemmed."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import regex
 
-from tessera.operators.lexical import K1, B, query_terms
+#: Marks that Latin letters are written with.
+_MARKS = {d[1] for c in map(chr, range(0xC0, 0x1F00)) if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and unicodedata.combining(d[1])}
+
+#: Words of a text: letters, digits and private characters, with the marks that follow them.
+WORDS = regex.compile(rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{''.join(sorted(_MARKS))}]*")
 
 _VOWELS = "aeiou"
 
@@ -35,10 +36,10 @@ def _has_vowel(w: str) -> bool:
     return any(not _consonant(w, i) for i in range(len(w)))
 
 
-# The endings of steps 2 to 4 of the published algorithm (Porter, 1980).
+# The endings of steps 2 to 4 of the published algorithm (Porter, 1980), with the two its author changed later (bli, logi).
 _STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
-    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
 }
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
@@ -54,14 +55,21 @@ def _swap(w: str, table: dict[str, str], least: int) -> str:
 
 
 def stem(w: str) -> str:
-    """Porter's stem of a lower-case word; words of one or two letters and of more than 64 stay."""
-    if not 3 <= len(w) <= 64 or not w.isascii() or not w.isalpha():
+    """Porter's stem of a lower-case word. Its UTF-8 bytes are its letters, those
+    beyond ASCII and digits consonants; words of less than three or more than 64 stay."""
+    if not w.isascii():
+        return _stem(w.encode().decode("latin-1")).encode("latin-1").decode(errors="replace")
+    return _stem(w)
+
+
+def _stem(w: str) -> str:
+    if not 3 <= len(w) <= 64:
         return w
-    if w.endswith("sses") or w.endswith("ies"):
+    if len(w) > 4 and w.endswith("sses") or len(w) > 3 and w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if len(w) > 3 and w.endswith("eed"):
         w = w[:-1] if _measure(w[:-3]) > 0 else w
     else:
         for end in ("ed", "ing"):
@@ -93,67 +101,15 @@ def stem(w: str) -> str:
     return w
 
 
+def _plain(c: str) -> str:
+    """A lower-case letter without its mark, if it is a Latin letter with one; nothing for a mark."""
+    if c in _MARKS:
+        return ""
+    c = f if len(f := c.casefold()) == 1 else c
+    d = unicodedata.normalize("NFD", c)
+    return d[0] if len(d) == 2 and d[0].isascii() else c
+
+
 def folded(w: str) -> str:
-    """Lower case without the marks of Latin letters, stemmed."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
-    return stem(plain)
-
-
-def _terms(words: DataFrame) -> DataFrame:
-    """(word, term) of distinct words."""
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"word": b["word"], "term": [folded(w) for w in b["word"]]})
-
-    return words.mapInPandas(run, "word string, term string")
-
-
-@dataclass(frozen=True)
-class Index:
-    postings: DataFrame  # (term, id, tf), sorted by term in ranges
-    lengths: DataFrame  # (id, dl) of every record
-    n: int
-    average: float
-
-
-def write_index(records: DataFrame, path: str, id_col: str = "id", content: str = "content") -> Index:
-    """Index ``records`` under ``path``: every text is cut once, its words are
-    counted before they are shuffled, and only distinct words are stemmed."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    toks = records.select(F.col(id_col).alias("id"), tokens.alias("t"))
-    toks.select("id", F.size("t").cast("long").alias("dl")).write.parquet(f"{path}/lengths")
-    words = toks.select("id", F.explode("t").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
-    words.write.parquet(f"{path}/words")
-    words = records.sparkSession.read.parquet(f"{path}/words")
-    terms = _terms(words.select("word").distinct())
-    posts = words.join(terms, "word").groupBy("term", "id").agg(F.sum("tf").alias("tf"))
-    posts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    return open_index(records.sparkSession, path)
-
-
-def open_index(spark: SparkSession, path: str) -> Index:
-    lengths = spark.read.parquet(f"{path}/lengths")
-    s = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("a")).first()
-    return Index(spark.read.parquet(f"{path}/postings"), lengths, s["n"], s["a"])
-
-
-def ranked(index: Index, query: str) -> DataFrame:
-    """(id, score) of every record with a term of the query, by BM25.
-
-    Terms are folded and stemmed as the index is; prefixes are those of stems.
-    The scan of the postings is cut to the terms' ranges by its statistics."""
-    terms = list(dict.fromkeys((folded(t), pre) for t, pre in query_terms(query)))
-    if not terms:
-        return index.lengths.select("id", F.lit(0.0).alias("score")).where("false")
-    fits = [F.col("term").startswith(t) if pre else F.col("term") == t for t, pre in terms]
-    either = fits[0]
-    for f in fits[1:]:
-        either = either | f
-    which = F.explode(F.filter(F.array(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)]), lambda x: x.isNotNull()))
-    hits = index.postings.where(either).select("id", "tf", which.alias("i")).groupBy("i", "id").agg(F.sum("tf").cast("double").alias("f"))
-    df = hits.groupBy("i").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.select("i", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))  # a row a term
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.average)))
-    return hits.join(F.broadcast(weight), "i").join(index.lengths, "id").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    """A lower-case word without the marks of Latin letters, stemmed."""
+    return stem(w if w.isascii() else "".join(map(_plain, w)))

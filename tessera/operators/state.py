@@ -216,7 +216,7 @@ class Snapshots:
         names; how many folders went. To be run when nothing writes."""
         numbers = self.versions()
         kept = numbers[-keep:]
-        named = {(t, f.split("/")[0]) for n in kept for t, e in self._state(n)[1].items() for f in e["parts"].values()}
+        named = {(t, f.split("/")[0]) for n in kept for t, e in self._state(n)[1].items() for f in e.get("parts", {}).values()}
         fs, gone = self._fs(), 0
         for n in self._names("_versions"):
             if not n.isdigit() or int(n) not in kept:

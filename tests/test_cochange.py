@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import schema
 from tessera.operators import cochange as X
 from tessera.operators.density import hdbscan, spanning_tree
-from tessera.operators.postings import folded, ranked, stem, write_index
+from tessera.operators.postings import stem
 from tessera.operators.records import new_records
 from tessera.settings import Documents
 
@@ -110,19 +110,3 @@ STEMS = {
 @pytest.mark.parametrize("word", sorted(STEMS))
 def test_stem(word):
     assert stem(word) == STEMS[word]
-
-
-def test_postings(spark, tmp_path):
-    texts = ["Running runners run café", "the run was LONG", "ran away", None, "CAFÉ society", ""]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
-    index = write_index(df, f"file://{tmp_path}/i")
-    assert index.n == 6 and folded("Cafés") == "cafe"
-    score = lambda q: {r.id: r.score for r in ranked(index, q).collect()}
-    assert set(score("runs")) == {0, 1} and set(score("cafe")) == {0, 4} and score("") == {} and score("zebra") == {}
-    toks = [[folded(w) for w in (t or "").replace("LONG", "long").split()] for t in texts]
-    avg, n = sum(map(len, toks)) / 6, 6
-    f = [sum(t.startswith("run") for t in ts) for ts in toks]
-    df_ = sum(x > 0 for x in f)
-    idf = max(np.log((n - df_ + 0.5) / (df_ + 0.5)), 1e-6) if np.log((n - df_ + 0.5) / (df_ + 0.5)) > 0 else 1e-6
-    want = {i: round(idf * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * len(toks[i]) / avg)), 6) for i, x in enumerate(f) if x}
-    assert score("running") == pytest.approx(want, abs=1e-6)
