@@ -32,7 +32,7 @@ from tessera.llm.tokens import encoder
 from tessera.plans.shared import materialize, over_cores
 
 #: A chunk ends when it has so many words, or so many distinct ones.
-CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 400_000
+CHUNK_WORDS, CHUNK_DISTINCT = 3_000_000, 300_000
 #: Round i learns from documents whose hash falls into its share of 256, with a
 #: learning rate and windows a step; small steps come first, low rates last.
 ROUNDS = (0, 2, 4, 8, 16, 32, 64, 128, 256)
