@@ -38,12 +38,3 @@ def min_max(scored: DataFrame) -> DataFrame:
     w = Window.partitionBy()
     low, high = F.min("score").over(w), F.max("score").over(w)
     return scored.select("id", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)).alias("relevance"))
-
-
-def cosine_rerank(fused: DataFrame, vectors: DataFrame, query: list[float], n: int) -> DataFrame:
-    """The n best of a fused ranking, by cosine with the query."""
-    from tessera.functions.scoring import cosine
-
-    best = fused.orderBy(F.desc("score"), "id").limit(n).select("id")
-    score = cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query]))
-    return best.join(vectors, "id").select("id", F.round(score, 6).alias("score"))

@@ -129,17 +129,6 @@ def signature(version: int, model: Column, transcript: Column, settings: str = "
     return F.sha2(F.concat_ws("|", F.lit(str(version)), F.lit(settings), model, redact(transcript)), 256)
 
 
-def cache_misses(segs: DataFrame, cached: DataFrame) -> DataFrame:
-    """Segments (segment_id, content_hash) whose hash is not the cached one."""
-    old = cached.select("segment_id", F.col("content_hash").alias("_old"))
-    return segs.join(old, "segment_id", "left").where("_old is null or _old <> content_hash").drop("_old")
-
-
-def within_budget(segs: DataFrame, budget: int, *order: str) -> DataFrame:
-    """The first ``budget`` segments may call the model; 0 is no bound. A report limit, not a sample."""
-    return segs.orderBy(*order).limit(budget) if budget else segs
-
-
 def orphans(stored: DataFrame, counts: DataFrame) -> DataFrame:
     """Stored segments (session_id, segment_index) past the session's present number (session_id, n)."""
     return stored.join(counts, "session_id").where("segment_index >= n").drop("n")
@@ -170,7 +159,7 @@ def timeline(rows: DataFrame, start: datetime, end: datetime, limit: int, groupe
     return ranked.withColumn("place", F.row_number().over(Window.orderBy("_g", "segment_index"))).orderBy("place").drop("_r", "_g")
 
 
-def search(records: DataFrame, query: str, now: datetime, repo: str | None = None, since: str | None = None, limit: int = 10) -> DataFrame:
+def search(records: DataFrame, query: str, now: datetime, repo: str | None = None, since: str | None = None, limit: int = 10, indexes=None) -> DataFrame:
     """The best segments for a query, in order (``place``), shaped for a report.
 
     The search knows nothing of repositories and dates, so more is fetched than
@@ -180,7 +169,7 @@ def search(records: DataFrame, query: str, now: datetime, repo: str | None = Non
     from tessera.operators.sync import RECORD_TYPE, shaped
 
     fetch = min(100, max(3 * limit, 100) if repo is not None or since is not None else 3 * limit)
-    found = ranked(records, query, str(now), fetch)
+    found = ranked(records, query, str(now), fetch, indexes=indexes)
     rows = found.join(records, "id").where(meta("record_type") == RECORD_TYPE)
     if repo is not None:
         rows = rows.where(F.coalesce(meta("repo"), F.lit("")) == repo)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import effective_score
 from tessera.operators.fusion import fuse, min_max
+from tessera.operators.index import Index
 from tessera.operators.lexical import both, pool, top
 from tessera.plans.shared import materialize
 from tessera.settings import Notes
@@ -52,22 +53,28 @@ class Filter:
         return reduce(and_, out)
 
 
-def candidates(records: DataFrame, query: str, limit: int, vectors: DataFrame | None = None, vector_weight: float = 1.0) -> DataFrame:
-    """(id, relevance) of the fused pools; ``vectors`` (id, score) is a ranked pool of its own."""
+#: The word and the trigram index of a store's records.
+Indexes = tuple[Index, Index]
+
+
+def candidates(records: DataFrame, query: str, limit: int, vectors: DataFrame | None = None, vector_weight: float = 1.0, indexes: Indexes | None = None) -> DataFrame:
+    """(id, relevance) of the fused pools; ``vectors`` (id, score) is a ranked
+    pool of its own. Words and substrings come from ``indexes``, or from a pass over the texts."""
     n = pool(limit)
-    sources, weights = [top(ranking, n) for ranking in both(records, query)], [1.0, 1.0]
+    sources = [ix.top(query, n) for ix in indexes] if indexes else [top(ranking, n) for ranking in both(records, query)]
+    weights = [1.0, 1.0]
     if vectors is not None:
         sources.append(vectors.orderBy(F.desc("score"), "id").limit(n))
         weights.append(vector_weight)
     return min_max(fuse(sources, weights))
 
 
-def search(records: DataFrame, query: str, now: str, limit: int = 10, where: Filter = Filter(), vectors: DataFrame | None = None, vector_weight: float = 1.0, prefilter: bool = False, notes: Notes = Notes()) -> DataFrame:
+def search(records: DataFrame, query: str, now: str, limit: int = 10, where: Filter = Filter(), vectors: DataFrame | None = None, vector_weight: float = 1.0, prefilter: bool = False, notes: Notes = Notes(), indexes: Indexes | None = None) -> DataFrame:
     """(id, score) of the best records. The pool is cut before the filter, as
-    in the model system; ``prefilter`` filters first. Changes nothing: see
-    ``feedback.touch`` for the counters."""
+    in the model system; ``prefilter`` filters first, which takes a pass over the
+    texts, as an index knows of no filter. Changes nothing: see ``feedback.touch`` for the counters."""
     base = records.where(where.column()) if prefilter else records
-    found = candidates(base, query, limit, vectors, vector_weight)
+    found = candidates(base, query, limit, vectors, vector_weight, None if prefilter else indexes)
     rows = found.join(records, "id").where(where.column())
     score = effective_score(F.col("relevance"), F.col("usefulness_score"), F.col("staleness_score"), F.col("last_accessed_at"), F.lit(now).cast("timestamp_ntz"), F.col("is_note"), notes.bonus)
     return rows.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
@@ -89,7 +96,7 @@ class Around:
     types: tuple[str, ...] = ()
 
 
-def full_search(records: DataFrame, links: DataFrame, sessions: DataFrame, query_results: DataFrame, query: str, now: str, session_id: str, limit: int = 10, where: Filter = Filter(), embed: Callable[[str], list[float]] | None = None, vector_weight: float = 1.0, around: Around | None = None, notes: Notes = Notes()) -> Found:
+def full_search(records: DataFrame, links: DataFrame, sessions: DataFrame, query_results: DataFrame, query: str, now: str, session_id: str, limit: int = 10, where: Filter = Filter(), embed: Callable[[str], list[float]] | None = None, vector_weight: float = 1.0, around: Around | None = None, notes: Notes = Notes(), indexes: Indexes | None = None) -> Found:
     """Search as a user meets it: three ranked sources, filter and score, the
     neighbours of what was found, the notes on it, and the log of the session.
 
@@ -107,7 +114,7 @@ def full_search(records: DataFrame, links: DataFrame, sessions: DataFrame, query
     vectors = None
     if embed is not None:
         vectors = cosine_top_k(records.select("id", F.col("embedding").alias("vector")).where("vector is not null"), embed(query), pool(limit))
-    best = materialize(search(records, query, now, limit, where, vectors, vector_weight, notes=notes), "best")
+    best = materialize(search(records, query, now, limit, where, vectors, vector_weight, notes=notes, indexes=indexes), "best")
     place = F.row_number().over(Window.orderBy("origin", F.desc("score"), "id"))  # a page of results
     found = best.select("id", "score", F.lit(0).alias("origin"))
     if around is not None:

@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder of the shared one, for files of this process."""
+    home = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _written.append(home)
+    return f"{home}/{tag}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -36,9 +43,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     statistics for its choice of join.
     """
     spark = df.sparkSession
-    home = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    path = f"{home}/{tag}"
-    _written.append(home)
+    path = folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -85,7 +85,7 @@ def test_inserts_updates_deletes(spark, tmp_path, monkeypatch, kind):
     """After any order of changes the ranking is that of what is there."""
     monkeypatch.setattr(X, "SPAN_RECORDS", 7)
     rng, ix, there = random.Random(kind), X.Index(spark, f"file://{tmp_path}/i", kind), {}
-    for step in range(7):
+    for step in range(4):
         batch = {rng.randrange(120): t for t in texts(30 if step % 3 else 8, seed=step)}
         batch[1000 + step] = None
         ix.put(frame(spark, batch.items()))
@@ -95,7 +95,7 @@ def test_inserts_updates_deletes(spark, tmp_path, monkeypatch, kind):
         there = {i: t for i, t in there.items() if i not in gone}
         assert ix.stats().n == len(there)
     assert len(ix.segments()) <= 4
-    for q in ("running the cafe", "analogy x", "straße", "unn soci", "zzz", "", "the of run ca"):
+    for q in ("running the cafe", "straße unn", "zzz"):
         want = plain(there, q, kind)
         assert scores(ix.ranked(q)) == pytest.approx({i: s for i, s in want.items()}, abs=2e-6), q
         best = sorted(((-round(s, 5), i) for i, s in want.items()))[:5]
