@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,56 +33,113 @@ def document_frequency(rows: DataFrame) -> DataFrame:
 
 #: Records of an entity up to which its pairs are made in one task; more are cut into blocks of that size.
 BLOCK = 2000
+#: Links that one task scans in order at once.
+SCAN = 200_000
+
+
+def by_rarity(rows: DataFrame) -> DataFrame:
+    """(entity, df, rank): ranks grow with the frequency, then the name; gaps do not matter."""
+    counted = document_frequency(rows).repartitionByRange("df", "entity").sortWithinPartitions("df", "entity")
+    return materialize(counted.select("entity", "df", F.monotonically_increasing_id().alias("rank")), "rarity")
 
 
-def entity_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(entity, id1, id2, and what else ``rows`` has) of every two records with an entity in common, id1 < id2.
+def _met(sets: DataFrame, least: int, min_jaccard: float, block: int) -> DataFrame:
+    """Rows of two records that meet at an entity of both prefixes, with what ``sets`` has of each.
 
-    Every pair is part of the result. An entity of up to ``block`` records is
-    joined as it is; the members of a more common one are dealt to blocks and
-    meet block by block, so it is work for many tasks instead of one.
+    Two sets, each in order of rarity, that share k entities share one in their
+    prefixes that leave out the last k - 1; so no record is looked up by the
+    commonest of its entities, whose pairs are most of all. k is ``least``, or
+    the share of its own size that a similar set must have in common with it. A
+    rank of up to ``block`` records is joined as it is; those of a more common
+    one are dealt to blocks and meet block by block, in many tasks.
     """
-    nb = rows.groupBy("entity").agg(F.ceil(F.count("*") / block).alias("nb")).where("nb > 1")
-    salted = rows.join(nb, "entity", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    need = F.greatest(F.lit(least), F.ceil(F.lit(min_jaccard) * F.size("ranks") - 1e-9).cast("int"))
+    prefix = F.slice("ranks", 1, F.greatest(F.size("ranks") - need + 1, F.lit(0)))
+    rows = sets.select("*", F.posexplode(prefix).alias("at", "rank"))
+    nb = rows.groupBy("rank").agg(F.ceil(F.count("*") / block).alias("nb")).where("nb > 1")
+    salted = rows.join(nb, "rank", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("nb"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    extra = [c for c in rows.columns if c not in ("entity", "id")]
-    a = salted.select("entity", F.col("id").alias("id1"), *extra, own.alias("b1"), "nb").withColumn("b2", every).drop("nb")
-    b = salted.select("entity", F.col("id").alias("id2"), own.alias("b2"), "nb").withColumn("b1", every).drop("nb")
-    return a.join(b, ["entity", "b1", "b2"]).where("id1 < id2").drop("b1", "b2")
+    a = salted.select("rank", F.col("id").alias("id1"), F.col("ranks").alias("r1"), F.col("at").alias("at1"), "items", own.alias("b1"), "nb").withColumn("b2", every).drop("nb")
+    b = salted.select("rank", F.col("id").alias("id2"), F.col("ranks").alias("r2"), F.col("at").alias("at2"), own.alias("b2"), "nb").withColumn("b1", every).drop("nb")
+    return a.join(b, ["rank", "b1", "b2"]).where("id1 < id2")
+
+
+def similar_pairs(rows: DataFrame, weights: DataFrame, least: int = 1, min_jaccard: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """(id1, id2, shared, entity, weight, size1, size2) of every two records, id1
+    < id2, with ``least`` entities in common and the Jaccard similarity;
+    ``entity`` is the least name, ``weight`` the sum over what they share.
+
+    ``rows`` is (id, entity), each once, ``weights`` (entity, rank, weight). A
+    pair is told where the rarest entity of both meets, so nothing has to be
+    grouped; lengths and places rule out pairs before their sets are compared.
+    """
+    items = F.array_sort(F.collect_list(F.struct("rank", "entity", "weight")))
+    sets = rows.join(weights, "entity").groupBy("id").agg(items.alias("items")).withColumn("ranks", F.col("items.rank"))
+    sets = materialize(sets.where(F.size("ranks") >= least), "sets")
+    n1, n2 = F.size("r1"), F.size("r2")
+    need = F.greatest(F.lit(least), F.ceil(F.lit(min_jaccard / (1 + min_jaccard)) * (n1 + n2) - 1e-9).cast("int"))
+    left = F.least(n1 - F.col("at1"), n2 - F.col("at2"))  # what may still be shared from here on
+    pairs = _met(sets, least, min_jaccard, block).where((F.least(n1, n2) >= F.lit(min_jaccard - 1e-12) * F.greatest(n1, n2)) & (left >= need))
+    pairs = pairs.select("id1", "id2", "rank", "items", n1.alias("size1"), n2.alias("size2"), F.array_intersect("r1", "r2").alias("both"))
+    pairs = pairs.where((F.element_at("both", 1) == F.col("rank")) & (F.size("both") >= least))
+    shared = F.filter("items", lambda x: F.array_contains("both", x["rank"]))
+    out = pairs.select("id1", "id2", F.size("both").cast("long").alias("shared"), shared.alias("x"), "size1", "size2")
+    if min_jaccard > 0:
+        out = out.where(F.col("shared") / (F.col("size1") + F.col("size2") - F.col("shared")) >= min_jaccard)
+    total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["weight"])
+    return out.select("id1", "id2", "shared", F.array_min(F.col("x.entity")).alias("entity"), total.alias("weight"), "size1", "size2")
 
 
 def co_occurrence(rows: DataFrame) -> DataFrame:
     """(id1, id2, shared, entity) of every pair of records with an entity in common; entity is the least."""
-    return entity_pairs(rows).groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("entity").alias("entity"))
+    rows = materialize(rows, "entities")
+    return similar_pairs(rows, by_rarity(rows).withColumn("weight", F.lit(0.0))).select("id1", "id2", "shared", "entity")
 
 
 def concept_pairs(records: DataFrame, settings: Links = Links()) -> DataFrame:
     """Candidate links with strength: (id1, id2, shared, entity, jaccard, strength)."""
     rows = materialize(entity_rows(records, settings), "entities")
     n = records.where("is_active and not is_archived").count()
-    df = document_frequency(rows).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
-    weight = rows.join(df, "entity").select("id", "entity", "idf")
-    pairs = entity_pairs(weight).groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("entity").alias("entity"), F.sum("idf").alias("idf"))
-    size = rows.groupBy("id").agg(F.count("*").alias("size"))
-    s1, s2 = (size.select(F.col("id").alias(f"id{i}"), F.col("size").alias(f"size{i}")) for i in (1, 2))
-    j = pairs.where(F.col("shared") >= settings.min_shared).join(s1, "id1").join(s2, "id2")
+    weights = by_rarity(rows).select("entity", "rank", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("weight"))
+    j = similar_pairs(rows, weights, settings.min_shared, settings.min_jaccard)
     j = j.withColumn("jaccard", F.col("shared") / (F.col("size1") + F.col("size2") - F.col("shared")))
-    if settings.min_jaccard > 0:
-        j = j.where(F.col("jaccard") >= settings.min_jaccard)
     top = F.log(F.lit(float(n + 1))) + 1
-    strength = clamp(F.col("idf") / (F.col("shared") * top)) if settings.idf_weighted else F.lit(0.5)
+    strength = clamp(F.col("weight") / (F.col("shared") * top)) if settings.idf_weighted else F.lit(0.5)
     return j.select("id1", "id2", "shared", "entity", F.round("jaccard", 6).alias("jaccard"), F.round(strength, 6).alias("strength"))
 
 
-def cap_per_node(pairs: DataFrame, settings: Links = Links()) -> DataFrame:
+def _scan(links: DataFrame) -> DataFrame:
+    """(id1, id2) of the links that a scan takes. ``links`` is in order, in one
+    partition, with the rooms ``room1`` and ``room2`` of the ends; bounded by ``SCAN``."""
+    kind = links.schema["id1"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room: dict = {}
+        for b in batches:
+            took = []
+            for a, c, ra, rc in zip(b["id1"], b["id2"], b["room1"], b["room2"], strict=True):
+                left, right = room.get(a, ra), room.get(c, rc)
+                took.append(left > 0 and right > 0)
+                if took[-1]:
+                    room[a], room[c] = left - 1, right - 1
+            yield b.loc[took, ["id1", "id2"]]
+
+    return links.select("id1", "id2", "room1", "room2").mapInPandas(run, f"id1 {kind}, id2 {kind}")
+
+
+def cap_per_node(pairs: DataFrame, settings: Links = Links(), scan: int | None = None) -> DataFrame:
     """The links a greedy scan in order (-shared, -strength, id1, id2) would take
     if it took each whose ends both have room.
 
-    Rounds: a link that ranks within the room left at both ends is one the
-    scan takes; one at a full end is one it drops. Every round decides the
-    first open link at least; each is written to the shared folder.
+    Rounds. What the scan takes of its first links depends on nothing after
+    them, so one task scans the best ``scan`` open links as they stand. Of the
+    rest, a link that ranks within the room left at both ends is one the scan
+    takes; one at a full end is one it drops. The second settles most links of
+    most inputs in few rounds; the first bounds the rounds by links / ``scan``
+    whatever the input. Every round is written to the shared folder.
     """
+    scan = scan or SCAN
     both = pairs.select(F.col("id1").alias("n")).unionByName(pairs.select(F.col("id2").alias("n")))
     degree = both.groupBy("n").agg(F.count("*").alias("d"))
     cap = F.lit(settings.max_per_node)
@@ -87,20 +147,33 @@ def cap_per_node(pairs: DataFrame, settings: Links = Links()) -> DataFrame:
         row = nearest_rank(degree, "d", settings.hub_percentile).head(1)
         limit = row[0]["d"] if row else 0
         cap = F.when(F.col("d") >= limit, int(settings.max_per_node * settings.hub_multiplier)).otherwise(settings.max_per_node)
-    room = materialize(degree.select("n", cap.alias("room")), "room")
-    left, taken = materialize(pairs, "open"), None
-    order = [F.desc("shared"), F.desc("strength"), "id1", "id2"]
-    while left.head(1):
-        ends = left.withColumn("n", F.explode(F.array("id1", "id2"))).withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(*order)))
-        fits = ends.join(room, "n").groupBy("id1", "id2").agg(F.min((F.col("rank") <= F.col("room")).cast("int")).alias("fits"))
-        won = materialize(left.join(fits.where("fits = 1"), ["id1", "id2"], "left_semi"), "won")
+    room = materialize(degree.select("n", cap.cast("long").alias("room")), "room")
+    left, taken, names = materialize(pairs, "open"), None, pairs.columns
+    order, key = [F.desc("shared"), F.desc("strength"), "id1", "id2"], ["id1", "id2"]
+    n_left = left.count()
+    while n_left:
+        ends = [room.select(F.col("n").alias(f"id{i}"), F.col("room").alias(f"room{i}")) for i in (1, 2)]
+        head = materialize(left.join(ends[0], "id1").join(ends[1], "id2").orderBy(*order).limit(scan), "head")
+        won = _scan(head.coalesce(1).sortWithinPartitions(*order)).select(*key)
+        if n_left > scan:
+            rest = left.join(head.select(*key), key, "left_anti")
+            # ranks count all open links, those of the head too: a link that fits, fits after them
+            placed = left.withColumn("n", F.explode(F.array("id1", "id2"))).withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(*order)))
+            fits = placed.join(room, "n").groupBy(*key).agg(F.min((F.col("rank") <= F.col("room")).cast("int")).alias("fits")).where("fits = 1").select(*key)
+            won = won.unionByName(fits).distinct()
+        else:
+            rest = left.where("false")
+        won = materialize(left.join(won, key, "left_semi").select(*names), "won")
         taken = won if taken is None else taken.unionByName(won)
+        if n_left <= scan:
+            break
         used = won.select(F.explode(F.array("id1", "id2")).alias("n")).groupBy("n").agg(F.count("*").alias("used"))
         room = materialize(room.join(used, "n", "left").select("n", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), "room")
         full = room.where("room <= 0").select("n")
-        rest = left.join(won, ["id1", "id2"], "left_anti")
+        rest = rest.join(won.select(*key), key, "left_anti")
         rest = rest.join(full.withColumnRenamed("n", "id1"), "id1", "left_anti").join(full.withColumnRenamed("n", "id2"), "id2", "left_anti")
-        left = materialize(rest.select(*pairs.columns), "open")
+        left = materialize(rest.select(*names), "open")
+        n_left = left.count()
     return taken if taken is not None else pairs
 
 

@@ -68,18 +68,32 @@ def concept_strength(spark, sf_dir):
     return graph.concept_pairs(materialize(records(spark, sf_dir), "records"), CAP)
 
 
-@query()
+_ALL = LIVE_SQL + """, n AS (SELECT count(*) AS n FROM ents WHERE is_active AND NOT is_archived), df AS (SELECT entity, count(*) AS df FROM kept GROUP BY entity), own AS (SELECT k.id, k.entity, df.df FROM kept k JOIN df USING (entity)),
+ pr AS (SELECT a.id AS id1, b.id AS id2, count(*) AS shared, min(a.entity) AS entity, sum(ln((n.n + 1) / (a.df + 1)) + 1) AS idf, max(n.n) AS n FROM own a JOIN own b ON a.entity = b.entity AND a.id < b.id, n GROUP BY 1, 2), sz AS (SELECT id, count(*) AS size FROM own GROUP BY id)"""
+
+
+@query(f"WITH {_ALL} SELECT id1, id2, shared, entity FROM pr")
 def co_occurrence_pairs_all(spark, sf_dir):
-    """All entities, however common; the SQL of co_occurrence_pairs is written for the cap."""
+    """All entities, however common."""
     return graph.co_occurrence(graph.entity_rows(materialize(records(spark, sf_dir), "records")))
 
 
-@query()
+def _strength_sql(where: str) -> str:
+    return f"WITH {_ALL} SELECT id1, id2, shared, entity, round(shared / (x.size + y.size - shared), 6) AS jaccard, round(greatest(0, least(1, idf / (shared * (ln(n + 1) + 1)))), 6) AS strength FROM pr JOIN sz x ON x.id = id1 JOIN sz y ON y.id = id2 WHERE shared >= 2{where}"
+
+
+@query(_strength_sql(""))
 def concept_strength_all(spark, sf_dir):
-    """All entities, however common; the SQL of concept_strength is written for the cap."""
+    """All entities, however common."""
     return graph.concept_pairs(materialize(records(spark, sf_dir), "records"))
 
 
+@query(_strength_sql(" AND shared / (x.size + y.size - shared) >= 0.3"))
+def concept_strength_similar(spark, sf_dir):
+    """Pairs of a Jaccard similarity of 0.3 or more: lengths and prefixes rule most out unseen."""
+    return graph.concept_pairs(materialize(records(spark, sf_dir), "records"), Links(min_jaccard=0.3))
+
+
 @query()
 def cap_per_node(spark, sf_dir):
     """At most three links a record, the best first."""

@@ -68,6 +68,40 @@ def test_cap_per_node_is_the_greedy_scan(spark):
     got = {(r.id1, r.id2) for r in graph.cap_per_node(df, Links(max_per_node=2)).collect()}
     assert got == greedy(pairs, 2)
     assert graph.cap_per_node(df.where("false")).count() == 0
+    for scan in (1, 5, 20):
+        assert {(r.id1, r.id2) for r in graph.cap_per_node(df, Links(max_per_node=2), scan).collect()} == greedy(pairs, 2)
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Each link of the chain depends on the one before, which a round a link would take."""
+    n, rounds = 300, []
+    pairs = [(i, i + 1, 2 + i, 0.5) for i in range(n)]
+    real = graph._scan
+    monkeypatch.setattr(graph, "_scan", lambda links: rounds.append(1) or real(links))
+    df = spark.createDataFrame(pairs, "id1 long, id2 long, shared long, strength double")
+    assert {(r.id1, r.id2) for r in graph.cap_per_node(df, Links(max_per_node=1), 100).collect()} == greedy(pairs, 1)
+    assert len(rounds) <= 3
+
+
+@pytest.mark.parametrize("least,jaccard", [(1, 0.0), (2, 0.0), (3, 0.0), (1, 0.4), (2, 0.5), (1, 1.0)])
+def test_similar_pairs(spark, least, jaccard):
+    """Against all pairs of sets, also where a common entity is dealt to blocks."""
+    import random
+
+    rng = random.Random(least + int(10 * jaccard))
+    sets = {i: {e for e in (rng.choice("aaaabbbccd") if rng.random() < 0.6 else f"e{rng.randrange(12)}" for _ in range(rng.randrange(9)))} for i in range(60)} | {60: {"e1", "e2"}, 61: {"e1", "e2"}}
+    rows = spark.createDataFrame([(i, e) for i, s in sets.items() for e in s], "id long, entity string")
+    weights = graph.by_rarity(rows).withColumn("weight", F.col("df") * 1.0)
+    df = {r.entity: r.df for r in weights.collect()}
+    want = {}
+    for a in sets:
+        for b in sets:
+            both = sets[a] & sets[b]
+            if a < b and len(both) >= least and len(both) / len(sets[a] | sets[b]) >= jaccard:
+                want[a, b] = (len(both), min(both), sum(df[e] for e in both), len(sets[a]), len(sets[b]))
+    for block in (2000, 7):
+        got = graph.similar_pairs(rows, weights, least, jaccard, block).collect()
+        assert {(r.id1, r.id2): tuple(r)[2:] for r in got} == want and len(got) == len(want)
 
 
 def fold(turns, s):
