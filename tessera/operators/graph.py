@@ -32,15 +32,18 @@ def document_frequency(rows: DataFrame) -> DataFrame:
 
 
 #: Records of an entity up to which its pairs are made in one task; more are cut into blocks of that size.
-BLOCK = 2000
+BLOCK = 500
 #: Links that one task scans in order at once.
 SCAN = 200_000
 
 
 def by_rarity(rows: DataFrame) -> DataFrame:
-    """(entity, df, rank): ranks grow with the frequency, then the name; gaps do not matter."""
-    counted = document_frequency(rows).repartitionByRange("df", "entity").sortWithinPartitions("df", "entity")
-    return materialize(counted.select("entity", "df", F.monotonically_increasing_id().alias("rank")), "rarity")
+    """(entity, df, rank, name): numbers that grow with the frequency, then the
+    name, and numbers that grow with the name; gaps do not matter."""
+    counted = materialize(document_frequency(rows), "frequency")
+    named = counted.repartitionByRange("entity").sortWithinPartitions("entity").withColumn("name", F.monotonically_increasing_id())
+    named = materialize(named, "names")
+    return materialize(named.repartitionByRange("df", "entity").sortWithinPartitions("df", "entity").withColumn("rank", F.monotonically_increasing_id()), "rarity")
 
 
 def _met(sets: DataFrame, least: int, min_jaccard: float, block: int) -> DataFrame:
@@ -60,9 +63,12 @@ def _met(sets: DataFrame, least: int, min_jaccard: float, block: int) -> DataFra
     salted = rows.join(nb, "rank", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("nb"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    a = salted.select("rank", F.col("id").alias("id1"), F.col("ranks").alias("r1"), F.col("at").alias("at1"), "items", own.alias("b1"), "nb").withColumn("b2", every).drop("nb")
+    a = salted.select("rank", F.col("id").alias("id1"), F.col("ranks").alias("r1"), F.col("at").alias("at1"), "names", "weights", own.alias("b1"), "nb").withColumn("b2", every).drop("nb")
     b = salted.select("rank", F.col("id").alias("id2"), F.col("ranks").alias("r2"), F.col("at").alias("at2"), own.alias("b2"), "nb").withColumn("b1", every).drop("nb")
-    return a.join(b, ["rank", "b1", "b2"]).where("id1 < id2")
+    # few bytes make many pairs, so partitions are not left to be merged by their size
+    spark, key = sets.sparkSession, ["rank", "b1", "b2"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return a.repartition(n, *key).join(b.repartition(n, *key), key).where("id1 < id2")
 
 
 def similar_pairs(rows: DataFrame, weights: DataFrame, least: int = 1, min_jaccard: float = 0.0, block: int = BLOCK) -> DataFrame:
@@ -70,25 +76,28 @@ def similar_pairs(rows: DataFrame, weights: DataFrame, least: int = 1, min_jacca
     < id2, with ``least`` entities in common and the Jaccard similarity;
     ``entity`` is the least name, ``weight`` the sum over what they share.
 
-    ``rows`` is (id, entity), each once, ``weights`` (entity, rank, weight). A
-    pair is told where the rarest entity of both meets, so nothing has to be
-    grouped; lengths and places rule out pairs before their sets are compared.
+    ``rows`` is (id, entity), each once, ``weights`` (entity, rank, name,
+    weight) with the numbers of ``by_rarity``. A pair is told where the rarest
+    entity of both meets, so nothing has to be grouped; lengths and places rule
+    out pairs before their sets are compared, and sets travel as numbers.
     """
-    items = F.array_sort(F.collect_list(F.struct("rank", "entity", "weight")))
-    sets = rows.join(weights, "entity").groupBy("id").agg(items.alias("items")).withColumn("ranks", F.col("items.rank"))
-    sets = materialize(sets.where(F.size("ranks") >= least), "sets")
+    items = F.array_sort(F.collect_list(F.struct("rank", "name", "weight")))
+    sets = rows.join(weights, "entity").groupBy("id").agg(items.alias("x"))
+    sets = materialize(sets.select("id", F.col("x.rank").alias("ranks"), F.col("x.name").alias("names"), F.col("x.weight").alias("weights")).where(F.size("ranks") >= least), "sets")
     n1, n2 = F.size("r1"), F.size("r2")
     need = F.greatest(F.lit(least), F.ceil(F.lit(min_jaccard / (1 + min_jaccard)) * (n1 + n2) - 1e-9).cast("int"))
     left = F.least(n1 - F.col("at1"), n2 - F.col("at2"))  # what may still be shared from here on
     pairs = _met(sets, least, min_jaccard, block).where((F.least(n1, n2) >= F.lit(min_jaccard - 1e-12) * F.greatest(n1, n2)) & (left >= need))
-    pairs = pairs.select("id1", "id2", "rank", "items", n1.alias("size1"), n2.alias("size2"), F.array_intersect("r1", "r2").alias("both"))
+    both = F.explode(F.array(F.array_intersect("r1", "r2"))).alias("both")  # exploded, so that it is found once and not again in every filter on it
+    pairs = pairs.select("id1", "id2", "rank", "r1", "names", "weights", n1.alias("size1"), n2.alias("size2"), both)
     pairs = pairs.where((F.element_at("both", 1) == F.col("rank")) & (F.size("both") >= least))
-    shared = F.filter("items", lambda x: F.array_contains("both", x["rank"]))
-    out = pairs.select("id1", "id2", F.size("both").cast("long").alias("shared"), shared.alias("x"), "size1", "size2")
+    out = pairs.withColumn("shared", F.size("both").cast("long"))
     if min_jaccard > 0:
         out = out.where(F.col("shared") / (F.col("size1") + F.col("size2") - F.col("shared")) >= min_jaccard)
-    total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["weight"])
-    return out.select("id1", "id2", "shared", F.array_min(F.col("x.entity")).alias("entity"), total.alias("weight"), "size1", "size2")
+    at = lambda values, e: F.element_at(values, F.array_position("r1", e).cast("int"))
+    name, total = F.array_min(F.transform("both", lambda e: at("names", e))), F.aggregate("both", F.lit(0.0), lambda acc, e: acc + at("weights", e))
+    out = out.select("id1", "id2", "shared", name.alias("name"), total.alias("weight"), "size1", "size2")
+    return out.join(weights.select("name", "entity"), "name").select("id1", "id2", "shared", "entity", "weight", "size1", "size2")
 
 
 def co_occurrence(rows: DataFrame) -> DataFrame:
@@ -101,7 +110,7 @@ def concept_pairs(records: DataFrame, settings: Links = Links()) -> DataFrame:
     """Candidate links with strength: (id1, id2, shared, entity, jaccard, strength)."""
     rows = materialize(entity_rows(records, settings), "entities")
     n = records.where("is_active and not is_archived").count()
-    weights = by_rarity(rows).select("entity", "rank", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("weight"))
+    weights = by_rarity(rows).select("entity", "rank", "name", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("weight"))
     j = similar_pairs(rows, weights, settings.min_shared, settings.min_jaccard)
     j = j.withColumn("jaccard", F.col("shared") / (F.col("size1") + F.col("size2") - F.col("shared")))
     top = F.log(F.lit(float(n + 1))) + 1
