@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.text import mime
+from tessera.operators.answers import Answers
 from tessera.operators.records import annotating, meta, new_records
 from tessera.operators.state import archive, insert_or_ignore
 
@@ -96,20 +97,11 @@ def missing(records: DataFrame, told: DataFrame) -> DataFrame:
     return told.join(file_records(records), "id", "left_anti")
 
 
-def describe(jobs: DataFrame, captioner: Callable[[dict], str]) -> DataFrame:
-    """(id, content, error) by ``captioner`` (a job as a dict to text); a failure costs its own image only."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for job in b.to_dict("records"):
-                try:
-                    rows.append((job["id"], captioner(job), None))
-                except Exception as e:
-                    rows.append((job["id"], None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["id", "content", "error"])
-
-    return jobs.mapInPandas(run, f"id {jobs.schema['id'].dataType.simpleString()}, content string, error string")
+def describe(jobs: DataFrame, captioner: Callable[[dict], str], answers: Answers | None = None) -> DataFrame:
+    """(id, content, error) by ``captioner`` (a job as a dict to text); a failure
+    costs its own image only. Written before it is used: each image is asked about once."""
+    said = (answers or Answers("captioner")).ask(jobs, jobs.columns, captioner)
+    return said.select("id", F.col("answer").alias("content"), "error")
 
 
 def svg_lines(data: bytes | None) -> str:
