@@ -6,6 +6,7 @@ Summarizer         ``operators.consolidate.generate_summaries``
 Conflict resolver  ``operators.consolidate.resolve``
 Distiller          ``operators.sync.prepare(distiller=...)``
 Captioner          ``operators.images.describe``
+Entity finder      ``entity_finder``: column to column
 Session dialect    ``register_dialect``
 =================  ==============================================================
 """
@@ -19,8 +20,10 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessera.functions.text import STOP_WORDS, entities
 from tessera.operators.vector import feature_vector
 from tessera.sources import sessions
 
@@ -59,22 +62,48 @@ class Hashing:
 
 
 class TokenBuckets:
-    """For tests: a text's tokens counted in buckets by the sha256 of each, of length 1."""
+    """For tests. Fixed by what other stores hold: a token's sha256 names its bucket
+    by the first four bytes and its weight, -1 to 1, by the next four; sums have length 1."""
 
     model_name = "token-buckets"
 
-    def __init__(self, dimensions: int = 32) -> None:
+    def __init__(self, dimensions: int = 384) -> None:
         self.dimensions = dimensions
 
     def embed_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for row, text in zip(out, texts, strict=True):
             for token in text.lower().split():
-                row[int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big") % self.dimensions] += 1
+                at, weight = np.frombuffer(hashlib.sha256(token.encode()).digest()[:8], ">u4").tolist()
+                row[at % self.dimensions] += np.float32(2.0 * weight / (2**32 - 1) - 1.0)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return list(out / np.where(norms > 0, norms, 1))
 
 
+def entity_finder(find: Callable[[str], Sequence[str]], most: int = 24, least_length: int = 2, characters: int = 5000) -> Callable[[Column], Column]:
+    """``functions.text.entities`` of a content, then those that ``find`` (a named-entity
+    model, say) has in its first ``characters``: in lower case, without stop
+    words, each once, ``most`` in all. A text that ``find`` fails on keeps its own."""
+
+    @pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(text: str) -> list[str]:
+            try:
+                return [str(e) for e in find(text)]
+            except Exception:  # the plain way stands
+                return []
+
+        return s.fillna("").map(one)
+
+    def column(content: Column) -> Column:
+        found = F.transform(run(F.substring(content, 1, characters)), lambda e: F.trim(F.lower(e)))
+        found = F.filter(found, lambda e: (F.length(e) >= least_length) & ~e.isin(*STOP_WORDS))
+        found = F.slice(F.array_distinct(found), 1, most)
+        return F.slice(F.array_distinct(F.concat(entities(content), found)), 1, most)
+
+    return column
+
+
 def register_dialect(agent: str, read: Callable[..., sessions.Sessions]) -> None:
     """Makes ``read(spark, root)`` the reader of an agent's sessions."""
     sessions.DIALECTS[agent] = read

@@ -12,6 +12,7 @@ from tessera.operators.state import Snapshots
 from tessera.operators.sync import file_state, sync
 from tessera.schema import MANIFEST, MEMORIES
 from tessera.settings import Segments
+from tessera.sources.changes import changes
 from tessera.sources.sessions import read_sessions
 from tessera.streaming.trees import empty
 
@@ -29,15 +30,14 @@ def sync_store(spark: SparkSession, agent: str, root: str, store: Snapshots, now
 
 
 def watch_sessions(spark: SparkSession, agent: str, root: str, store: Snapshots, clock: Callable[[], str], checkpoint: str, s: Segments = Segments(), once: bool = True, **how) -> StreamingQuery:
-    """A stream that syncs whenever session files arrive. Files that grew since
-    are found by the run's own comparison; a rewritten file's segments are
-    replaced by their ids and those past its end archived, so late and repeated
-    input end in the same tables."""
-    arrived = spark.readStream.format("text").option("recursiveFileLookup", "true").option("wholetext", "true").schema("value string").load(root)
+    """A stream that syncs whenever session files arrive, are rewritten or go. A
+    rewritten file's segments are replaced by their ids and those past its end
+    archived, so late and repeated input end in the same tables."""
+    arrived = changes(spark, root, f"{checkpoint}-listings")
 
     def run(batch: DataFrame, _: int) -> None:
         if batch.head(1):
             sync_store(spark, agent, root, store, clock(), s, **how)
 
-    w = arrived.select(F.length("value").alias("n")).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = arrived.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

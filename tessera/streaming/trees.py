@@ -13,6 +13,7 @@ from tessera.operators.records import new_records
 from tessera.operators.state import Snapshots, archive, upsert
 from tessera.plans.shared import materialize
 from tessera.schema import MANIFEST, MEMORIES
+from tessera.sources.changes import changes
 from tessera.sources.files import classify, listing, prune, read_text, render
 
 
@@ -73,11 +74,9 @@ def index_tree(spark: SparkSession, root: str, store: Snapshots, now: str, colle
 
 
 def watch_tree(spark: SparkSession, root: str, store: Snapshots, clock: Callable[[], str], collection: str, checkpoint: str, mode: str = "metadata", once: bool = True) -> StreamingQuery:
-    """A stream that runs ``index_tree`` whenever files arrive. The file source
-    tells of new files only; each run compares all, so rewritten and deleted
-    ones are taken in then too. A batch that is repeated after a failure finds
-    nothing left to do."""
-    arrived = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(spark.read.format("binaryFile").load(root).schema).load(root).select("path")
+    """A stream that runs ``index_tree`` whenever files arrive, are rewritten or
+    go. A batch that is repeated after a failure finds nothing left to do."""
+    arrived = changes(spark, root, f"{checkpoint}-listings")
 
     def run(batch: DataFrame, _: int) -> None:
         if batch.head(1):

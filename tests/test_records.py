@@ -366,3 +366,60 @@ def test_rankings_count_what_tokens_say(spark):
         toks = re.findall("[a-z0-9]+", t.lower())
         assert r.dl == len(toks) and [r[f"f{i}"] for i in range(4)] == [sum(x.startswith(w) if pre else x == w for x in toks) for w, pre in words], t
         assert [r[f"g{i}"] for i in range(3)] == [len(re.findall(f"(?={g})", t.lower())) for g in grams], t
+
+
+def test_nearest_by_cells(spark):
+    """Many queries: the same as a full comparison, most pairs never made where vectors lie in clusters."""
+    import numpy as np
+
+    from tessera.operators import vector as V
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    m = centres[rng.integers(0, 12, 600)] + rng.normal(scale=0.05, size=(600, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(600, None), (601, [0.0] * 8), (602, [1.0] * 7), (603, [float(x) for x in m[0]])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    q = v.where("id % 3 = 0 or id > 599").select(F.col("id").alias("query_id"), "vector")
+    want = {}
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in rows if x and len(x) == 8 and any(x)}
+    for i in unit:
+        if i % 3 == 0 or i > 599:
+            best = sorted((-round(float(unit[i] @ y), 6) + 0.0, j) for j, y in unit.items())[:5]
+            want[i] = [(j, -s) for s, j in best]
+
+    def told(df):
+        out = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.id, r.score))
+        return out
+
+    got, pruned = V.by_cells(v, q.where("vector is not null"), 5, 8, cells=16, block=20)
+    for found in (told(got), told(V.nearest(v, q, 5)), told(V.nearest(v, q, 5, few=10))):
+        assert set(found) == set(want)
+        for i, x in found.items():
+            assert [s for _, s in x] == pytest.approx([s for _, s in want[i]], abs=1.1e-6)
+    assert pruned > 0.6
+    assert V.nearest(v.where("false"), q, 5).count() == 0 and V.nearest(v.where("false"), q, 5, few=10).count() == 0 and V.nearest(v, q.where("false"), 5).count() == 0
+
+
+def test_entity_finder_and_token_buckets(spark):
+    import hashlib
+
+    import numpy as np
+
+    def find(text):
+        if "fail" in text:
+            raise ValueError("no model")
+        return ["  Paris ", "the", "x", "paris", "Rome"] if text else []
+
+    df = spark.createDataFrame([("Azure Sky saw rome",), ("fail Azure Sky",), (None,)], "c string")
+    plain = [r.e for r in df.select(T.entities(F.col("c")).alias("e")).collect()]
+    got = [r.e for r in df.select(hooks.entity_finder(find)(F.col("c")).alias("e")).collect()]
+    assert got[0] == plain[0] + [e for e in ("paris", "rome") if e not in plain[0]] and got[1] == plain[1] and not got[2]
+    assert len(df.select(hooks.entity_finder(lambda t: [f"name {i}" for i in range(99)])(F.col("c")).alias("e")).first().e) == 24
+    (v,) = hooks.TokenBuckets(16).embed_batch(["Red red deer"])
+    want = np.zeros(16)
+    for t in ("red", "red", "deer"):
+        d = hashlib.sha256(t.encode()).digest()
+        want[int.from_bytes(d[:4], "big") % 16] += int.from_bytes(d[4:8], "big") / 0xFFFFFFFF * 2 - 1
+    assert np.allclose(v, want / np.linalg.norm(want), atol=1e-6) and not hooks.TokenBuckets().embed_batch([" "])[0].any()

@@ -41,9 +41,12 @@ def test_tree_runs_are_incremental(spark, tmp_path):
     q = trees.watch_tree(spark, str(root), store, lambda: NOW, "docs", f"{tmp_path}/ck", "content")
     q.awaitTermination(120)
     assert store.read("records").where("is_active").count() == live.count()
+    (root / "c.md").unlink()  # no new file, and yet
+    trees.watch_tree(spark, str(root), store, lambda: NOW, "docs", f"{tmp_path}/ck", "content").awaitTermination(120)
+    assert store.read("manifest").count() == 1
     (root / "d.md").write_text("delta")
     trees.watch_tree(spark, str(root), store, lambda: NOW, "docs", f"{tmp_path}/ck", "content").awaitTermination(120)
-    assert store.read("manifest").count() == 3
+    assert store.read("manifest").count() == 2
 
 
 def test_sessions_are_watched(spark, tmp_path):
@@ -57,7 +60,9 @@ def test_sessions_are_watched(spark, tmp_path):
     one = sync.stored_segments(store.read("records")).count()
     go()
     assert sync.stored_segments(store.read("records")).count() == one > 1
-    (root / "a.jsonl").write_text("\n".join(line(i, "a") for i in range(2)))  # rewritten; noticed with the next file
+    (root / "a.jsonl").write_text("\n".join(line(i, "a") for i in range(2)))  # rewritten, and no new file
+    go()
+    assert [(r.session_id, r.segment_index) for r in sync.stored_segments(store.read("records")).where("not is_archived").collect()] == [("a", 0)]
     (root / "b.jsonl").write_text(line(0, "b"))
     go()
     live = sync.stored_segments(store.read("records")).where("not is_archived")
