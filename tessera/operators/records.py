@@ -257,12 +257,3 @@ def load_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def newest(records: DataFrame, key: str) -> DataFrame:
     return latest(records, [key], [F.desc("created_at"), F.desc("id")])
-
-
-def parse_since(text: str, now: datetime) -> datetime:
-    """``<n>d``, ``w`` or ``m`` (30 days) before now."""
-    from tessera.operators.history import window
-
-    if text.strip()[-1:] not in ("d", "w", "m"):
-        raise ValueError(f"not a span: {text!r}")
-    return window(text, None, None, now)[0]

@@ -44,7 +44,7 @@ def archive(rows: DataFrame, ids: DataFrame, by: str | None = None) -> DataFrame
 
 
 #: Key columns of the engine's own tables, for stores that are not told others.
-KEYS = {"records": ("id",), "manifest": ("path", "collection"), "links": ("source_memory_id", "target_memory_id", "link_type"), "summaries": ("concept",), "query_sessions": ("id",)}
+KEYS = {"records": ("id",), "manifest": ("path", "collection"), "links": ("source_memory_id", "target_memory_id", "link_type"), "summaries": ("concept",), "query_sessions": ("id",), "digests": ("digest",)}
 BUCKET = "_bucket"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import redact
-from tessera.operators.history import distil, segments, signature, turns_of
+from tessera.operators.history import distil, elide, segments, signature, turns_of
 from tessera.operators.records import meta, new_records
 from tessera.operators.state import archive, upsert
 from tessera.plans.shared import materialize
@@ -77,7 +77,8 @@ def prepare(read: Sessions, records: DataFrame, s: Segments = Segments(), distil
     turns. With one, a session's segments go to it in order, each with what it
     said for the next; ``budget`` bounds how many sessions' segments may (0: no
     bound), ``only_since`` leaves older sessions out, and where it fails the
-    plain way is taken. All text is redacted.
+    plain way is taken. All text is redacted. ``facts["transcript"]`` is the
+    segment's turns as text of at most ``s.prompt_chars``, with gaps marked.
     """
     rows = materialize(segment_rows(read, s, 2 if distiller else 1), "segments")
     if distiller and only_since:
@@ -93,7 +94,7 @@ def prepare(read: Sessions, records: DataFrame, s: Segments = Segments(), distil
     title = F.when(F.col("title_") != "", F.col("title_")).otherwise(F.substring(F.coalesce("session_title", F.lit("")), 1, 80))
     told = told.select(*[F.col(c) for c in fresh.columns if c != "title"], fresh["title"].alias("session_title"), plain["title"].alias("title_"), plain["summary"], plain["kind"]).withColumn("title", redact(title)).withColumn("summary", F.substring(F.concat_ws(" ", F.nullif(F.col("summary"), F.lit("")), tools), 1, 600)).withColumns({"outcome": F.lit(""), "used": F.lit(False), "failed": F.lit(False)})
     if distiller:
-        told = _by_model(told, turns, distiller, budget)
+        told = _by_model(told, turns, distiller, budget, s.prompt_chars)
         version = F.when(F.col("used"), 2).otherwise(1)
         told = told.withColumn("distiller_version", version)
     content = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.lit("(no summary)"))
@@ -117,7 +118,7 @@ def prepare(read: Sessions, records: DataFrame, s: Segments = Segments(), distil
     return Prepared(out.drop("used", "failed"), counts, cached, report)
 
 
-def _by_model(told: DataFrame, turns: DataFrame, distiller: Distiller, budget: int) -> DataFrame:
+def _by_model(told: DataFrame, turns: DataFrame, distiller: Distiller, budget: int, most: int = 12000) -> DataFrame:
     """``told`` after the distiller: a session's segments in order, each session in one task."""
     given = told
     asked = F.col("distiller_version") == 2
@@ -138,7 +139,9 @@ def _by_model(told: DataFrame, turns: DataFrame, distiller: Distiller, budget: i
             if r["_may"]:
                 try:
                     facts = {k: r[k] for k in ("session_id", "idx", "agent", "repo", "branch", "model", "title", "summary", "kind")}
-                    got, before = distiller(facts, json.loads(r["_turns"]), before)
+                    said = json.loads(r["_turns"])
+                    facts["transcript"] = "\n".join(elide([f"[{t['role'].upper()}] {t['text']}" for t in said], [t["role"] for t in said], most))
+                    got, before = distiller(facts, said, before)
                     used = True
                 except Exception:  # the plain way stands
                     failed, before = True, ""
@@ -201,11 +204,6 @@ def file_state(spark, paths: DataFrame) -> DataFrame:
     return paths.select("path").distinct().mapInPandas(run, "path string, size long, mtime double, content_hash string")
 
 
-def binary_state(files: DataFrame) -> DataFrame:
-    """The same of a ``binaryFile`` table, for file systems that only Spark reads."""
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.sha2("content", 256).alias("content_hash"))
-
-
 def backfill(read: Sessions, records: DataFrame, manifest: DataFrame, files: DataFrame, now: str, s: Segments = Segments(), **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, manifest, report) after all of ``read``; ``files`` is the state of its source files, looked at once."""
     files = materialize(files, "files")

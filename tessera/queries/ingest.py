@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import chunks, clean_markdown, human_size, mime, snippet, suffix, text_route, type_label
 from tessera.operators import cochange as X
-from tessera.operators.state import latest
+from tessera.operators.dedup import Contents
+from tessera.operators.state import Snapshots, latest
+from tessera.plans.shared import folder
 from tessera.queries import query
 from tessera.settings import Documents
 from tessera.sources.files import classify, prune, siblings
@@ -19,6 +21,19 @@ def exact_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2(t, 256).alias("content_hash")).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
 
 
+_TEXT = "coalesce(text, 'null')"
+
+
+@query(f"SELECT min(doc_id) AS id, sha256({_TEXT}) AS digest FROM documents WHERE doc_id % 3 <> 0 AND {_TEXT} NOT IN (SELECT {_TEXT} FROM documents WHERE doc_id % 3 = 0) GROUP BY {_TEXT}")
+def new_contents(spark, sf_dir):
+    """A batch's contents that a store, which took the other documents in two runs, does not hold."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("null")).alias("content"))
+    known = Contents(Snapshots(spark, folder(spark, "contents")))
+    for part in ("id % 6 = 0", "id % 6 = 3"):
+        known.add(known.fresh(d.where(part)))
+    return known.fresh(d.where("id % 3 <> 0")).select("id", "digest")
+
+
 _MAN = f"{FILES_SQL}, one AS (SELECT path, max(size) AS size, max(mtime) AS mtime FROM files GROUP BY path), man AS (SELECT path, size + CASE WHEN size % 5 = 0 THEN 1 ELSE 0 END AS size, mtime, CASE WHEN size % 7 = 0 THEN 'metadata' ELSE 'content' END AS index_mode FROM one WHERE size % 3 <> 0 UNION ALL SELECT path || '.gone', size, mtime, 'content' FROM one WHERE size % 11 = 0)"
 
 

@@ -59,6 +59,7 @@ class Segments:
     max_turns: int = 40
     gap_minutes: float = 45.0
     max_segments: int = 0
+    prompt_chars: int = 12000  # of a transcript, as a distiller gets it
 
 
 @dataclass(frozen=True)

@@ -158,11 +158,12 @@ def test_sync_follows_files(spark, tmp_path):
 
 
 def test_distiller_hook(spark, tmp_path):
-    s = Segments(target_turns=4, min_turns=2, max_turns=5)
+    s = Segments(target_turns=4, min_turns=2, max_turns=5, prompt_chars=60)
     session_file(tmp_path / "a.jsonl", 12, sid="a")
     read = sessions.read_sessions(spark, "claude_code", str(tmp_path))
 
     def distiller(facts, turns, before):
+        assert len(facts["transcript"]) <= 60 and facts["transcript"].startswith("[") and len(turns) > 1
         if facts["idx"] == 1:
             raise RuntimeError("no answer")
         return {"title": f"T{facts['idx']}", "summary": f"after {before!r} sk-{'k' * 24}", "kind": "docs", "outcome": "ok"}, f"ctx{facts['idx']}"
