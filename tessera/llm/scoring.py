@@ -277,11 +277,11 @@ def scored(docs: DataFrame, train: Column, path: str) -> DataFrame:
     end = size - 1
     if size > 1 << 16:
         raise ValueError("ids are kept in 16 bits")
-    rows = materialize(encoded(docs, train, path, end), "encoded")
+    rows = materialize(encoded(docs, train, path, end), "encoded", "zstd")
     texts, words = rows.where("ids IS NOT NULL"), rows.where("word IS NOT NULL").select("chunk", "word", "number", "n")
     own = Window.partitionBy("word")
     known = words.select("chunk", "number", "n", F.sum("n").over(own).alias("c"), (F.row_number().over(own.orderBy("chunk")) == 1).alias("first"))
-    known = materialize(known, "word_counts")
+    known = materialize(known, "word_counts", "zstd")
     tally = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("v")).first()
     ends = texts.where("train").count()
     total, kinds = tally.n + ends, tally.v + (ends > 0)
