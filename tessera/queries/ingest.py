@@ -59,10 +59,20 @@ def upsert_latest(spark, sf_dir):
     return latest(files(spark, sf_dir), ["path"], [F.desc("mtime"), F.desc("page_id")]).select("path", "page_id", "size")
 
 
-@query("SELECT doc_id, CAST(ceil(length(t) / 1000.0) AS BIGINT) AS n, length(t) AS total FROM (SELECT doc_id, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents) WHERE NOT contains(t, chr(10) || chr(10))")
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(trim(coalesce(text, ''), {_BLANK}), chr(10) || chr(10)), lambda x: length(trim(x, {_BLANK}))), lambda n: n > 0) AS p FROM documents),
+ f AS (SELECT doc_id, list_reduce(list_prepend({{'n': 0::BIGINT, 'total': 0::BIGINT, 'buf': 0::BIGINT}}, list_transform(p, lambda x: {{'n': 0::BIGINT, 'total': 0::BIGINT, 'buf': x::BIGINT}})), lambda a, x: CASE
+   WHEN x.buf > 1000 THEN {{'n': a.n + CAST(a.buf > 0 AS BIGINT) + (x.buf + 999) // 1000, 'total': a.total + a.buf + x.buf, 'buf': 0::BIGINT}}
+   WHEN a.buf > 0 AND a.buf + 2 + x.buf > 1000 THEN {{'n': a.n + 1, 'total': a.total + a.buf, 'buf': x.buf}}
+   ELSE {{'n': a.n, 'total': a.total, 'buf': CASE WHEN a.buf > 0 THEN a.buf + 2 + x.buf ELSE x.buf END}} END) AS f FROM p)
+ SELECT doc_id, f.n + CAST(f.buf > 0 AS BIGINT) AS n, f.total + f.buf AS total FROM f"""
+)
 def chunk_hard(spark, sf_dir):
-    """Texts of one paragraph, cut at 1000 characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("t")).where(~F.col("t").contains("\n\n"))
+    """Every text in chunks of paragraphs, up to 1000 characters each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     c = chunks(F.col("t"), 1000)
     return d.select("doc_id", F.size(c).cast("long").alias("n"), F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("total"))
 
