@@ -1,3 +1,3 @@
 """Every query of the engine by name, with its SQL twin."""
 
-from tessera.queries import ORACLES, QUERIES, consolidation, graphs, history, indexed, ingest, lookups, retrieval  # noqa: F401
+from tessera.queries import ORACLES, QUERIES, consolidation, drivers, graphs, history, indexed, ingest, lookups, retrieval  # noqa: F401
