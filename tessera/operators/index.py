@@ -5,7 +5,8 @@ records are sorted by length and cut into spans of some thousand; a block holds
 a term's postings in a span, with their lengths beside them, the largest count
 and the least length. So
 
-* a hot term is many blocks, written by as many tasks as its range needs;
+* a hot term is many blocks, written by the tasks that read its records, and a
+  file of blocks is sorted by term, so a scan opens the row groups of its terms;
 * a span is looked at whole or not at all: the sum of what its blocks could
   score at most, by their largest counts and least lengths, tells whether any
   of its records can be among the best k, and the rest is not opened;
@@ -158,7 +159,7 @@ class Index:
     def put(self, records: DataFrame, id_col: str = "id", content: str = "content") -> None:
         """Inserts records; those whose id is there already are replaced."""
         rows = records.select(F.col(id_col).cast(self.ids).alias("id"), F.lower(F.coalesce(F.col(content), F.lit(""))).alias("text"))
-        rows = materialize(rows.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")), "batch")
+        rows = materialize(rows.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")), "batch", "zstd")
         self._change(rows.select("id"), rows)
 
     def delete(self, ids: DataFrame) -> None:
@@ -191,12 +192,12 @@ class Index:
 
     def _write(self, table: str, df: DataFrame) -> str:
         folder = uuid.uuid4().hex
-        df.write.parquet(f"{self.store.root}/{table}/{folder}")
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{self.store.root}/{table}/{folder}")
         return folder
 
     def _add(self, state: dict, seg: str, blocks: DataFrame) -> dict:
         """``state`` with a segment written from its blocks."""
-        folder = self._write("blocks", blocks.repartitionByRange("term", "span").sortWithinPartitions("term", "span"))
+        folder = self._write("blocks", blocks.sortWithinPartitions("term", "span"))  # blocks stay where they were made: a file has all terms, in order
         own = self.spark.read.schema(self.schema).parquet(f"{self.store.root}/blocks/{folder}").where("term = ''")
         r = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("length")).first()
         entry = {"n": r.n, "length": r.length, "dead": 0, "dead_length": 0}
