@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tessera.operators.state import Snapshots
 from tessera.plans.shared import materialize
@@ -38,20 +39,21 @@ class Answers:
         had = self.store.read(self.table) if self.store is not None else None
         return like.sparkSession.createDataFrame([], SCHEMA) if had is None else had
 
-    def ask(self, rows: DataFrame, inputs: list[str], hook: Callable[[dict], str]) -> DataFrame:
+    def ask(self, rows: DataFrame, inputs: list[str], hook: Callable[[dict], str], distinct: bool = False) -> DataFrame:
         """``hook`` gets a dict of the ``inputs`` columns and returns a text. Where it
-        raises, ``error`` says what and ``answer`` is null; that is not kept, so a later run asks again."""
+        raises, ``error`` says what and ``answer`` is null; that is not kept, so a later run asks again.
+
+        ``distinct`` says that no input stands in two rows; without a store the
+        rows then go by the hook as they come, inputs are not written, and come
+        back without those that are arrays (``key`` is null)."""
+        if distinct and self.store is None:
+            return self._once(rows, inputs, hook)
         cells = F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"})
         keyed = materialize(rows.withColumn("key", F.sha2(F.concat_ws("|", F.lit(self.hook), F.lit(self.version), cells), 256)), "asked")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                said = []
-                for row in b[inputs].to_dict("records"):
-                    try:
-                        said.append((hook({k: list(v) if hasattr(v, "tolist") else v for k, v in row.items()}), None))
-                    except Exception as e:
-                        said.append((None, f"{type(e).__name__}: {e}"))
+                said = _said(b, inputs, hook)
                 yield pd.DataFrame({"key": b["key"], "answer": [a for a, _ in said], "error": [e for _, e in said]})
 
         known = self._known(rows)
@@ -72,3 +74,24 @@ class Answers:
             for f in failed:
                 known = known.unionByName(f)
         return keyed.join(known, "key")
+
+    def _once(self, rows: DataFrame, inputs: list[str], hook: Callable[[dict], str]) -> DataFrame:
+        keep = [f for f in rows.schema.fields if not isinstance(f.dataType, ArrayType)]
+        schema = StructType([*keep, *StructType.fromDDL(SCHEMA).fields])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                said = _said(b, inputs, hook)
+                yield b[[f.name for f in keep]].assign(key=None, answer=[a for a, _ in said], error=[e for _, e in said])
+
+        return materialize(rows.mapInPandas(run, schema), "answers")
+
+
+def _said(rows: pd.DataFrame, inputs: list[str], hook: Callable[[dict], str]) -> list[tuple[str | None, str | None]]:
+    out = []
+    for row in rows[inputs].to_dict("records"):
+        try:
+            out.append((hook({k: list(v) if hasattr(v, "tolist") else v for k, v in row.items()}), None))
+        except Exception as e:
+            out.append((None, f"{type(e).__name__}: {e}"))
+    return out

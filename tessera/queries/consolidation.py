@@ -81,7 +81,7 @@ def summary_generation(spark, sf_dir):
     r = materialize(records(spark, sf_dir), "records")
     chosen = C.concepts(r)
     old = spark.createDataFrame([], "concept string, summary_text string, memory_count long")
-    return C.generate_summaries(C.concept_contents(r, chosen), old, lambda c, xs: f"{c}: {len(xs)} records, {sum(map(len, xs))} characters")
+    return C.generate_summaries(C.concept_contents(r, chosen, pack=True), old, lambda c, xs: f"{c}: {len(xs)} records, {sum(map(len, xs))} characters")
 
 
 _CONTRA = "c AS (SELECT id, 0 AS pos, id + 1 AS other FROM memories WHERE flagged_for_review UNION ALL SELECT id, 1, id + 6 FROM memories WHERE flagged_for_review)"
