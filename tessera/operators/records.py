@@ -194,10 +194,13 @@ def manifest_paths(manifest: DataFrame, collection: str | None = None) -> DataFr
 def peers(records: DataFrame, asked: DataFrame, most: int = 8) -> DataFrame:
     """(id, peer, place): the first records by id that share an entity with each of ``asked`` (id).
 
-    Shared entities fold into one row a pair before the rank is cut."""
+    Of an entity's records only the first ``most`` + 1 by id can be among
+    anyone's first, so a common one is cut to them before it is joined. Shared
+    entities fold into one row a pair before the rank is cut."""
     e = records.select("id", F.explode(F.array_distinct("entity_ids")).alias("entity"))
     a = e.join(asked.select("id"), "id", "left_semi")
-    b = e.select(F.col("id").alias("peer"), "entity")
+    first = F.row_number().over(Window.partitionBy("entity").orderBy("id"))
+    b = e.withColumn("_n", first).where(F.col("_n") <= most + 1).select(F.col("id").alias("peer"), "entity")
     pairs = a.join(b, "entity").where("id <> peer").select("id", "peer").distinct()
     w = Window.partitionBy("id").orderBy("peer")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
