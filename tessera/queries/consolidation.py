@@ -75,7 +75,10 @@ def summary_jobs(spark, sf_dir):
     return C.summary_jobs(chosen, old)
 
 
-@query()
+@query(
+    f"""WITH {LIVE_SQL}, c AS (SELECT entity, count(*) AS n FROM kept GROUP BY entity HAVING count(*) >= 3), r AS (SELECT entity, id, n, row_number() OVER (PARTITION BY entity ORDER BY id) AS place FROM kept JOIN c USING (entity))
+ SELECT entity AS concept, entity || ': ' || count(*) || ' records, ' || sum(length(content)) || ' characters' AS summary_text, max(n) AS memory_count FROM r JOIN memories USING (id) WHERE place <= 20 GROUP BY entity"""
+)
 def summary_generation(spark, sf_dir):
     """Summaries by a stand-in summarizer: the number and total length of the contents it was given."""
     r = materialize(records(spark, sf_dir), "records")
