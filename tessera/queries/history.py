@@ -21,13 +21,24 @@ def segment_gap(spark, sf_dir):
     return t.groupBy("session_id", "segment").agg(F.min("seq").cast("long").alias("turn_lo"), F.max("seq").cast("long").alias("turn_hi"))
 
 
-@query()
+def _fold_sql(turns: str, target: int, least: int, most: int, gap_minutes: int) -> str:
+    """The fold turn by turn: where a turn's segment begins depends on the turn before it."""
+    gap = f"date_diff('microsecond', last, t.ts) > {gap_minutes * 60_000_000}" if gap_minutes else "FALSE"
+    return f"""WITH RECURSIVE {turns}, r AS (SELECT session_id, seq, seq AS lo, ts AS last, {most} <= 1 AS done FROM turns WHERE seq = 0
+  UNION ALL SELECT session_id, seq, lo, ts, seq - lo + 1 >= {most} FROM (SELECT t.session_id, t.seq, t.ts, CASE WHEN r.done THEN t.seq WHEN coalesce({gap}, FALSE) OR (t.seq - r.lo >= {target} AND t.role = 'user') THEN t.seq ELSE r.lo END AS lo FROM r JOIN turns t ON t.session_id = r.session_id AND t.seq = r.seq + 1)),
+ s AS (SELECT session_id, lo, max(seq) AS hi FROM r GROUP BY session_id, lo), n AS (SELECT session_id, count(*) AS n FROM turns GROUP BY session_id),
+ o AS (SELECT s.*, n, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY session_id) AS k, lead(lo) OVER w AS next_lo, lead(hi) OVER w AS next_hi FROM s JOIN n USING (session_id) WINDOW w AS (PARTITION BY session_id ORDER BY lo))
+ SELECT session_id, CAST(idx AS INT) AS idx, CAST(lo AS INT) AS turn_lo, CAST(CASE WHEN n <= {most} THEN n - 1 WHEN idx = k - 2 AND next_hi - next_lo + 1 < {least} THEN next_hi ELSE hi END AS INT) AS turn_hi FROM o
+ WHERE CASE WHEN n <= {most} THEN idx = 0 ELSE idx < k - 1 OR k = 1 OR hi - lo + 1 >= {least} END"""
+
+
+@query(_fold_sql(TIMED_TURNS_SQL, 5, 3, 8, 600))
 def segment_full(spark, sf_dir):
-    """All rules at once; held against a plain fold in the tests."""
+    """All rules at once."""
     return H.segments(timed_turns(spark, sf_dir), Segments(target_turns=5, min_turns=3, max_turns=8, gap_minutes=600))
 
 
-@query()
+@query(_fold_sql("turns AS (SELECT conv_id AS session_id, turn AS seq, CAST(NULL AS TIMESTAMP) AS ts, role FROM conversations)", 4, 2, 4, 0))
 def segment_conversations(spark, sf_dir):
     return H.segments(turns(spark, sf_dir), Segments(target_turns=4, min_turns=2, max_turns=4))
 
