@@ -1,7 +1,7 @@
 """An inverted index on disk that takes inserts, updates and deletes as they come.
 
 A batch of records becomes a segment, and segments never change. Within one,
-records are sorted by length and cut into spans of some thousand; a block holds
+each task sorts its records by length and cuts them into spans of some thousand; a block holds
 a term's postings in a span, with their lengths beside them, the largest count
 and the least length. So
 
@@ -48,8 +48,8 @@ from tessera.operators.postings import WORDS, folded
 from tessera.operators.state import Snapshots
 from tessera.plans.shared import materialize
 
-#: A span ends with so many records or characters.
-SPAN_RECORDS, SPAN_CHARS = 4096, 4_000_000
+#: A span ends with so many records or characters; of trigrams, whose places are many, with fewer.
+SPAN_RECORDS, SPAN_CHARS, GRAM_CHARS = 4096, 4_000_000, 1_000_000
 #: A segment is merged with the newer ones if it holds at most so many times their records.
 RATIO = 2
 #: Spans that are scored first, to learn what the k-th best is worth at least.
@@ -206,7 +206,8 @@ class Index:
     def _built(self, rows: DataFrame, seg: str) -> DataFrame:
         """Blocks of a batch (id, text). The block of the term ``''`` lists a span's records."""
         kind, arrow, with_places = self.kind, to_arrow_schema(self.schema), self.kind == "grams"
-        near = rows.select("id", "text", F.length("text").alias("size")).repartitionByRange("size", "id").sortWithinPartitions("size", "id").drop("size")
+        near = rows.select("id", "text", F.length("text").alias("size")).sortWithinPartitions("size", "id").drop("size")  # a task's own records are enough to tell short spans from long ones
+        most_chars = GRAM_CHARS if kind == "grams" else SPAN_CHARS
 
         def block_rows(ids: pa.Array, texts: list[str], span: int, terms: Callable[[str], list[str]] | None) -> Iterator[pa.RecordBatch]:
             names, starts, record, counts, lengths, *places = _gram_blocks(texts) if kind == "grams" else _word_blocks(texts, terms)
@@ -232,7 +233,7 @@ class Index:
                     ids.append(b.column("id").slice(i, 1))
                     texts.append(text)
                     chars += len(text)
-                    if len(texts) >= SPAN_RECORDS or chars >= SPAN_CHARS:
+                    if len(texts) >= SPAN_RECORDS or chars >= most_chars:
                         yield from block_rows(pa.concat_arrays(ids), texts, span, terms)
                         span, ids, texts, chars = span + 1, [], [], 0
             if texts:
