@@ -12,10 +12,13 @@ from tessera.functions.text import kind, redact
 from tessera.settings import Segments
 
 
-def by_gap(turns: DataFrame, minutes: float) -> DataFrame:
-    """Adds ``segment``: a new one after a silence longer than ``minutes``."""
+def by_gap(turns: DataFrame, minutes: float, tick: int = 1) -> DataFrame:
+    """Adds ``segment``: a new one after a silence longer than ``minutes``, by a
+    clock that ticks every ``tick`` microseconds: 1,000,000 counts the seconds that begin in a silence."""
     w = Window.partitionBy("session_id").orderBy("seq")
-    micros = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    at = at - F.pmod(at, F.lit(tick))
+    micros = at - F.lag(at).over(w)
     return turns.withColumn("_new", (F.coalesce(micros, F.lit(0)) > minutes * 60_000_000).cast("int")).withColumn("segment", F.sum("_new").over(w)).drop("_new")
 
 

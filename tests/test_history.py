@@ -210,3 +210,25 @@ def test_gap_counts_parts_of_seconds(spark):
     t = [(1, 0, datetime(2024, 1, 1, 0, 0, 0, 600000), "user"), (1, 1, datetime(2024, 1, 1, 0, 45, 1, 0), "user"), (1, 2, datetime(2024, 1, 1, 1, 30, 1, 0), "user")]
     df = spark.createDataFrame(t, "session_id long, seq int, ts timestamp_ntz, role string")
     assert [r.segment for r in history.by_gap(df, 45).orderBy("seq").collect()] == [0, 1, 1]
+
+
+def _ticks(spark, root, name):
+    """A query and its SQL over three events: the second silence is over 45 minutes, but only 2700 seconds begin in it."""
+    import duckdb
+
+    from tessera import catalog
+
+    at = ["2024-01-15 00:00:00.5", "2024-01-15 10:00:00.1", "2024-01-15 10:45:00.9", "2024-01-15 11:30:01.0"]
+    df = spark.createDataFrame([(i, t, 2, "error" if i == 2 else "view", 0.0, "") for i, t in enumerate(at)], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{root}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{root}/events.parquet/*.parquet'")
+    res = con.execute(catalog.ORACLES[name])
+    cols = [d[0] for d in res.description]
+    want = sorted(res.fetchall())
+    assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(root)).select(*cols).collect()) == want and want
+    return want
+
+
+def test_segments_count_seconds_as_their_sql_does(spark, tmp_path):
+    assert _ticks(spark, tmp_path, "segment_gap") == [(2, 0, 0, 0), (2, 1, 1, 2), (2, 2, 3, 3)]
