@@ -232,3 +232,7 @@ def _ticks(spark, root, name):
 
 def test_segments_count_seconds_as_their_sql_does(spark, tmp_path):
     assert _ticks(spark, tmp_path, "segment_gap") == [(2, 0, 0, 0), (2, 1, 1, 2), (2, 2, 3, 3)]
+
+
+def test_orphans_count_seconds_as_their_sql_does(spark, tmp_path):
+    assert _ticks(spark, tmp_path, "orphan_sweep") == [(2, 1), (2, 2)]
