@@ -236,3 +236,7 @@ def test_segments_count_seconds_as_their_sql_does(spark, tmp_path):
 
 def test_orphans_count_seconds_as_their_sql_does(spark, tmp_path):
     assert _ticks(spark, tmp_path, "orphan_sweep") == [(2, 1), (2, 2)]
+
+
+def test_statistics_count_seconds_as_their_sql_does(spark, tmp_path):
+    assert _ticks(spark, tmp_path, "history_stats") == [("*", 1, 3, "2024-01-15", "2024-01-15"), ("fix", 1, 1, "2024-01-15", "2024-01-15"), ("investigation", 1, 2, "2024-01-15", "2024-01-15")]
