@@ -237,3 +237,16 @@ def test_pair_queries_use_common_entities(spark):
     assert all(r.jaccard == round(r.shared / len(live[a] | live[b]), 6) for (a, b), r in got.items())
     taken = {(r.id1, r.id2) for r in catalog.QUERIES["cap_per_node"](spark, SF).collect()}
     assert taken == greedy([(a, b, r.shared, r.strength) for (a, b), r in got.items()], 3)
+
+
+def _above_pairs(df):
+    """The plan's operators that the pairs themselves go through, once found."""
+    plan = df._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")
+    assert len(plan) > 1
+    return plan[0]
+
+
+def test_pairs_are_not_joined_or_shuffled_once_found(spark):
+    rows = spark.createDataFrame([(i, e) for i in range(30) for e in ("all", f"e{i % 3}")], "id long, entity string")
+    got = graph.co_occurrence(rows)
+    assert "Join" not in _above_pairs(got) and got.count() == 435 and got.where("shared = 2").count() == 135
