@@ -250,3 +250,9 @@ def test_pairs_are_not_joined_or_shuffled_once_found(spark):
     rows = spark.createDataFrame([(i, e) for i in range(30) for e in ("all", f"e{i % 3}")], "id long, entity string")
     got = graph.co_occurrence(rows)
     assert "Join" not in _above_pairs(got) and got.count() == 435 and got.where("shared = 2").count() == 135
+
+
+def test_strengths_of_all_pairs_are_not_joined_once_found(spark):
+    r = spark.createDataFrame([(i, ["x", "y", f"e{i % 3}"], True, False) for i in range(30)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean")
+    got = graph.concept_pairs(r)
+    assert "Join" not in _above_pairs(got) and got.count() == 435 and {x.jaccard for x in got.collect()} == {0.5, 1.0}
