@@ -256,3 +256,18 @@ def test_strengths_of_all_pairs_are_not_joined_once_found(spark):
     r = spark.createDataFrame([(i, ["x", "y", f"e{i % 3}"], True, False) for i in range(30)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean")
     got = graph.concept_pairs(r)
     assert "Join" not in _above_pairs(got) and got.count() == 435 and {x.jaccard for x in got.collect()} == {0.5, 1.0}
+
+
+def test_ends_with_room_for_all_their_links_are_not_scanned(spark, monkeypatch):
+    pairs = [(a, b, (a * 7 + b * 3) % 5 + 2, ((a * b) % 7) / 7) for a in range(9) for b in range(a + 1, 9)] + [(20, 21, 3, 0.5), (21, 22, 3, 0.5)]
+    df = spark.createDataFrame(pairs, "id1 long, id2 long, shared long, strength double")
+    seen, real = [], graph._scan
+    monkeypatch.setattr(graph, "_scan", lambda links: seen.extend(links.select("id1", "id2").collect()) or real(links))
+    assert {(r.id1, r.id2) for r in graph.cap_per_node(df, Links(max_per_node=2)).collect()} == greedy(pairs, 2)
+    assert seen and all(r.id1 < 20 for r in seen)
+    seen.clear()
+    assert graph.cap_per_node(df, Links(max_per_node=8)).count() == len(pairs) and not seen
+    monkeypatch.setattr(consolidate, "cap_per_node", None)  # as many links as records may have: nothing to cap
+    m = spark.createDataFrame([(i, ["ab", "cd"], True, False) for i in range(4)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean")
+    none = spark.createDataFrame([], "source_memory_id long, target_memory_id long, link_type string")
+    assert consolidate.link_concepts(m, none, Links(max_per_node=3)).count() == 6
