@@ -343,6 +343,9 @@ def judge(table: pa.Table, length: int, batch: int) -> list[tuple]:
             elif k < x[0]:
                 x[0] = k
     family, todo, size = SuffixFamily(length), [], 0
+    # places and, for ids, their order: half the width where the bucket allows it
+    kind = np.int32 if sum(map(len, strings)) < 2**31 else np.int64
+    ranks = np.unique(np.array([k for k, _ in strings.values()], np.int64))
 
     def flush() -> None:
         nonlocal todo, size
@@ -351,7 +354,8 @@ def judge(table: pa.Table, length: int, batch: int) -> list[tuple]:
         n = lens - length + 1
         first = np.repeat(np.cumsum(lens) - lens, n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        known = family.add(buf, first + within, np.repeat(np.array([k for _, k in todo], np.int64), n))
+        ids = np.searchsorted(ranks, np.array([k for _, k in todo], np.int64)).astype(kind)
+        known = family.add(buf, (first + within).astype(kind), np.repeat(ids, n))
         bits = np.bitwise_or.reduceat(known.astype(np.uint64) << within.astype(np.uint64), np.cumsum(n) - n)
         for (s, _), b in zip(todo, bits.tolist(), strict=True):
             strings[s][1] = b
@@ -402,7 +406,7 @@ def cut_spans(left: pa.Table, right: pa.Table, length: int, step: int = 50_000)
         yield sha, k, text, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, batch: int = 2_000_000, held_bytes: int = 16 << 20, as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, batch: int = 2_000_000, held_bytes: int = 16 << 20, as_text: bool = False) -> DataFrame:
     """(sha, k, n_bytes, spans, kept) of every distinct text of ``docs`` (k, text).
 
     k is the smallest id of the text, spans its removed byte ranges, kept the

@@ -352,3 +352,19 @@ def test_every_character_of_the_plane(name):
         texts = [t for c in chars for t in {c, c.upper() + "li ve " + c.lower() + "li", "an" + c + "la", "x " + c.upper()}]
         want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
         assert [t for t, a, b in zip(texts, own.encode_batch(texts), want, strict=True) if a != b] == []
+
+
+def test_a_bucket_keeps_narrow_suffixes(monkeypatch):
+    """Ids travel as 64 bits; a bucket's suffix arrays hold places and ids in half of that."""
+    import pyarrow as pa
+    import zstandard
+
+    held, real = [], repeats.SuffixFamily
+    monkeypatch.setattr(repeats, "SuffixFamily", lambda length: held.append(real(length)) or held[-1])
+    rng = np.random.default_rng(5)
+    strings = [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(50)]
+    ids = np.arange(50) + 2**40
+    row = {"bucket": 0, "ids": ids.tobytes(), "sizes": np.full(50, 60, np.uint16).tobytes(), "blob": zstandard.compress(b"".join(strings)), "places": b""}
+    got = repeats.judge(pa.Table.from_pylist([{"grp": 0} | row, {"grp": 1} | row | {"ids": (ids + 1).tobytes()}]), 50, 1000)
+    assert [set(np.frombuffer(r[2], np.uint64).tolist()) for r in got] == [{0}, {2**64 - 1}]
+    assert sum(x.at.nbytes + x.least.nbytes for x in held[0].levels) == 8 * 50 * 11
