@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -166,6 +167,15 @@ def _signed_place(feature: str, dim: int) -> tuple[int, float]:
 _place = lru_cache(maxsize=1 << 20)(_signed_place)
 
 
+@lru_cache(maxsize=1 << 17)
+def _word(word: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signs of what a word has by itself; a text names it once, however often it says it."""
+    edged = f"^{word}$"
+    named = [f"w:{word}"] + [f"c:{edged[i : i + n]}" for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
+    at, sign = zip(*(_place(f, dim) for f in named), strict=True)
+    return np.array(at, np.int64), np.array(sign)
+
+
 def feature_vector(text: str | None, dim: int = 512) -> np.ndarray:
     """Signed feature hashing of a text, of length 1.
 
@@ -174,14 +184,16 @@ def feature_vector(text: str | None, dim: int = 512) -> np.ndarray:
     ``^`` and ``$``; a feature's bucket is its 8-byte blake2b modulo ``dim``, its
     sign that hash's top bit."""
     words = re.findall("[a-z0-9]{2,}", (text or "").lower())
-    named = [f"w:{w}" for w in words] + [f"w:{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    for w in words:
-        edged = f"^{w}$"
-        named += [f"c:{edged[i : i + n]}" for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
-    if not named:
+    if not words:
         return np.zeros(dim, np.float32)
-    at, sign = zip(*(_place(f, dim) for f in named), strict=True)
-    v = np.bincount(at, weights=sign, minlength=dim).astype(np.float32)
+    own, pairs = Counter(words), Counter(zip(words, words[1:], strict=False))
+    at, sign = zip(*(_word(w, dim) for w in own), strict=True)
+    times = np.repeat(np.fromiter(own.values(), np.float64, len(own)), [len(x) for x in at])
+    sums = np.bincount(np.concatenate(at), weights=np.concatenate(sign) * times, minlength=dim)
+    if pairs:
+        at, sign = zip(*(_signed_place(f"w:{a} {b}", dim) for a, b in pairs), strict=True)
+        sums += np.bincount(at, weights=np.array(sign) * np.fromiter(pairs.values(), np.float64, len(pairs)), minlength=dim)
+    v = sums.astype(np.float32)
     norm = np.linalg.norm(v)
     return v / norm if norm > 0 else v
 

@@ -423,3 +423,13 @@ def test_entity_finder_and_token_buckets(spark):
         d = hashlib.sha256(t.encode()).digest()
         want[int.from_bytes(d[:4], "big") % 16] += int.from_bytes(d[4:8], "big") / 0xFFFFFFFF * 2 - 1
     assert np.allclose(v, want / np.linalg.norm(want), atol=1e-6) and not hooks.TokenBuckets().embed_batch([" "])[0].any()
+
+
+def test_hashing_embedder_names_a_word_once(monkeypatch):
+    from tessera.operators import vector
+
+    asked, real = [], vector._place
+    monkeypatch.setattr(vector, "_place", lambda f, dim: asked.append(f) or real(f, dim))
+    vector._word.cache_clear()
+    v = vector.feature_vector("onceword twiceword " * 500, 64)
+    assert len(asked) < 100 and abs(float((v * v).sum()) - 1) < 1e-5
