@@ -271,3 +271,9 @@ def test_ends_with_room_for_all_their_links_are_not_scanned(spark, monkeypatch):
     m = spark.createDataFrame([(i, ["ab", "cd"], True, False) for i in range(4)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean")
     none = spark.createDataFrame([], "source_memory_id long, target_memory_id long, link_type string")
     assert consolidate.link_concepts(m, none, Links(max_per_node=3)).count() == 6
+
+
+def test_sets_that_meet_carry_ranks_only(spark):
+    sets = spark.createDataFrame([(i, [1, 2, 3], [7, 8, 9], [0.5, 0.5, 0.5]) for i in range(3)], "id long, ranks array<long>, names array<long>, weights array<double>")
+    got = graph._met(sets, 1, 0.5, 500)
+    assert not {"names", "weights"} & set(got.columns) and got.count() == 6
