@@ -1,6 +1,7 @@
 """Record tables, notes, images, files and evaluators on small tables."""
 
 import json
+import os
 import time
 from datetime import datetime
 
@@ -349,6 +350,27 @@ def test_tables_are_released(spark):
         df.selectExpr("sum(id)").collect()
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from tessera.plans import shared
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if (n := f.getName()).startswith("shuffle_")}
+    before, until = shuffles(), time.time() + 10
+    df = shared.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3), "t")
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and df.count() == 7 and spark.conf.get(shared.CLEANUP, "false") == "false"
+
+
+def test_discarded_tables_are_gone(spark):
+    from tessera.plans import shared
+
+    keep, drop = shared.materialize(spark.range(3), "t"), shared.materialize(spark.range(4), "t")
+    files = drop.inputFiles()
+    shared.discard(drop, spark.range(1))
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files) and keep.count() == 3
+
+
 def test_rankings_count_what_tokens_say(spark):
     """Counts by replacing against counts over token lists and over places."""
     import re
