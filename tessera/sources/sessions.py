@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import base64url_text, strip, to_utc
+from tessera.plans.shared import materialize
 
 # The time of a session that has none.
 EPOCH = "1970-01-01T00:00:00Z"
@@ -268,6 +269,11 @@ def read_sessions(spark: SparkSession, agent: str, root: str, **how) -> Sessions
     return DIALECTS[agent](spark, root, **how)
 
 
+def written(read: Sessions) -> Sessions:
+    """``read`` as tables, so that what asks for it many times does not parse the logs many times."""
+    return Sessions(materialize(read.sessions, "sessions"), materialize(read.turns, "turns"))
+
+
 def repositories(rows: DataFrame) -> DataFrame:
     """(path, target) of the repositories at or above the folders of ``rows``
     (cwd): folders with a ``.git`` folder, or with a ``.git`` file that names

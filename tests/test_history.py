@@ -240,3 +240,12 @@ def test_orphans_count_seconds_as_their_sql_does(spark, tmp_path):
 
 def test_statistics_count_seconds_as_their_sql_does(spark, tmp_path):
     assert _ticks(spark, tmp_path, "history_stats") == [("*", 1, 3, "2024-01-15", "2024-01-15"), ("fix", 1, 1, "2024-01-15", "2024-01-15"), ("investigation", 1, 2, "2024-01-15", "2024-01-15")]
+
+
+def test_logs_are_not_parsed_again_by_each_step_of_a_run(spark, monkeypatch):
+    from tessera import catalog
+
+    seen, real = [], sync.sync
+    monkeypatch.setattr(sync, "sync", lambda read, *a, **how: seen.extend([*read.sessions.inputFiles(), *read.turns.inputFiles()]) or real(read, *a, **how))
+    assert catalog.QUERIES["session_sync"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen and all(f.endswith(".parquet") for f in seen)
