@@ -4,6 +4,7 @@ import math
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,26 @@ def test_sets_that_meet_carry_ranks_only(spark):
     sets = spark.createDataFrame([(i, [1, 2, 3], [7, 8, 9], [0.5, 0.5, 0.5]) for i in range(3)], "id long, ranks array<long>, names array<long>, weights array<double>")
     got = graph._met(sets, 1, 0.5, 500)
     assert not {"names", "weights"} & set(got.columns) and got.count() == 6
+
+
+def test_links_are_capped_slice_by_slice(spark, monkeypatch):
+    """The links that the scan takes of all pairs, though no more than a slice of them is ever written down."""
+    import random
+
+    rng = random.Random(5)
+    made = [(i, sorted({rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(12))} | {"every"}), i % 17 != 0, False) for i in range(70)]
+    r = spark.createDataFrame(made + [(i, ["kl", "mn", "op"], True, False) for i in range(200, 206)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean").cache()
+    s, real, written = Links(max_per_node=3), graph.materialize, []
+    pairs = {(x.id1, x.id2): tuple(x) for x in graph.concept_pairs(r, s).collect()}
+    want = greedy([(a, b, x[2], x[5]) for (a, b), x in pairs.items()], 3)
+    monkeypatch.setattr(graph, "materialize", lambda df, tag: (out := real(df, tag), tag != "slice" or written.append(out.count()))[0])
+    got = [tuple(x) for x in graph.capped_pairs(r, s, most=len(pairs) // 2).collect()]
+    assert {x[:2] for x in got} == want and len(got) == len(want) and all(x == pairs[x[:2]] for x in got)
+    assert len(written) > 1 and max(written) <= len(pairs) // 2
+    assert graph._millionths(np.array([0.0000005, 0.1234565, 0.5, 1.0])).tolist() == [1, 123457, 500000, 1000000]
+
+
+def test_the_query_does_not_write_all_pairs(spark, monkeypatch):
+    tags, real = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, tag: tags.append(tag) or real(df, tag))
+    assert catalog.QUERIES["cap_per_node"](spark, SF).count() and "slice" in tags and "pairs" not in tags
