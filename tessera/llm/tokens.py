@@ -46,6 +46,30 @@ def has_run(text: str) -> bool:
     return max(sizes, default=0) >= LONG or (len(text) - sum(sizes) - len(sizes) >= LONG - 2 and _SPACES.search(text) is not None)
 
 
+class _Words:
+    """Ids of words that each stand alone; up to ``MOST`` of ordinary length are remembered, a text's others are coded at once."""
+
+    MOST = 200_000
+
+    def __init__(self, coder: tiktoken.Encoding, ranks: dict[bytes, int]) -> None:
+        self.coder, self.known = coder, {}
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[i for b, i in ranks.items() if b.endswith(b"\x01")]] = True
+
+    def encode(self, words: list[str]) -> bytes:
+        got = list(map(self.known.get, words))
+        if None in got:
+            new = list({w for w, g in zip(words, got, strict=True) if g is None})
+            ids = self.coder.encode_to_numpy("\x01".join(new) + "\x01", disallowed_special=()).astype("<u4", copy=False)
+            at = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            raw = ids.tobytes()
+            own = {w: raw[i:j] for w, i, j in zip(new, at[:-1], at[1:], strict=True)}
+            got = [own[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            if len(self.known) < self.MOST:
+                self.known.update((w, i) for w, i in own.items() if len(w) <= 64)
+        return b"".join(got)
+
+
 class Encoder:
     """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -63,6 +87,7 @@ class Encoder:
             if ranks:
                 pattern = _BYTE_LEVEL if self.kind == "bytes" else r"[^\x01]+\x01"
                 self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                self.words = _Words(self.coder, ranks)  # no merge crosses a word's end, so a word has the same ids everywhere
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -109,9 +134,8 @@ class Encoder:
         if self.kind == "words":
             if not _COVERED.fullmatch(text):
                 return self._whole(text)
-            words = _WORDS(text.lower())
-            text = "\x01".join(words) + "\x01" if words else ""
-        elif not _SAFE.fullmatch(text) and _ODD.search(text):
+            return self.words.encode(_WORDS(text.lower()))
+        if not _SAFE.fullmatch(text) and _ODD.search(text):
             return self._whole(text)
         return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 

@@ -368,3 +368,14 @@ def test_a_bucket_keeps_narrow_suffixes(monkeypatch):
     got = repeats.judge(pa.Table.from_pylist([{"grp": 0} | row, {"grp": 1} | row | {"ids": (ids + 1).tobytes()}]), 50, 1000)
     assert [set(np.frombuffer(r[2], np.uint64).tolist()) for r in got] == [{0}, {2**64 - 1}]
     assert sum(x.at.nbytes + x.least.nbytes for x in held[0].levels) == 8 * 50 * 11
+
+
+def test_known_words_are_not_coded_again():
+    enc = Encoder(P.path("word_bpe_49k.json"))
+    seen, real = [], enc.words.coder
+    enc.words.coder = type("Coder", (), {"encode_to_numpy": lambda self, text, **k: seen.append(text) or real.encode_to_numpy(text, **k)})()
+    texts = ["The cat don't sit, the cat sits!", "Über 12 cats sit " + "long" * 30, "", "the the sit"]
+    assert enc.encode_batch(texts) == [enc._whole(t) for t in texts]
+    assert "".join(seen).split("\x01").count("the") == 1 and len(seen) == 2
+    enc.words.MOST, enc.words.known = 0, {}  # with no room to remember, ids are the same
+    assert enc.encode_batch(texts) == [enc._whole(t) for t in texts] and not enc.words.known
