@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tessera.functions import text as T
 from tessera.operators import cochange, consolidate, feedback, graph, history, state
 from tessera.operators.components import connected_components
 from tessera.operators.lexical import query_terms
+from tessera.queries import graphs
 from tessera.settings import Documents, Links, Segments
 from tessera.sources import files
 
@@ -259,6 +261,28 @@ def test_strengths_of_all_pairs_are_not_joined_once_found(spark):
     assert "Join" not in _above_pairs(got) and got.count() == 435 and {x.jaccard for x in got.collect()} == {0.5, 1.0}
 
 
+def test_pairs_with_strengths_are_whole_as_they_are_found(spark, monkeypatch):
+    """Nothing is left to do to a pair after its blocks met, texts are not written with entities, and a block's own pairs are looked at once."""
+    r = spark.createDataFrame([(i, ["x", "y"] + [f"e{j}" for j in range(i % 7)], True, False) for i in range(40)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean")
+    got = graph.concept_pairs(r)
+    assert "round" not in _above_pairs(got)
+    sets = {x.id: set(x.entity_ids) for x in r.collect()}
+    df = {e: sum(e in v for v in sets.values()) for v in sets.values() for e in v}
+    seen = {(x.id1, x.id2): x for x in got.collect()}
+    assert set(seen) == {(a, b) for a in sets for b in sets if a < b}
+    for (a, b), x in seen.items():
+        both = sets[a] & sets[b]
+        weight = sum(math.log(41 / (df[e] + 1)) + 1 for e in both) / (len(both) * (math.log(41) + 1))
+        assert (x.shared, x.entity, x.jaccard) == (len(both), min(both), round(len(both) / len(sets[a] | sets[b]), 6)) and abs(x.strength - weight) < 1e-6 and round(x.strength, 6) == x.strength
+    written, real = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, tag: written.append(df.columns) or real(df, tag))
+    assert catalog.QUERIES["concept_strength"](spark, SF).count() and written and not any("content" in c for c in written)
+    n, names = 50, pa.array(["x"])
+    block = [pa.array(range(n)), np.ones(n, np.int64), np.zeros(n, np.int64), names, np.ones(1)]
+    steps = list(graph._met_blocks(block, block, pa.concat_arrays([names, names]).dictionary_encode(), True, 1, n * (n - 1) // 2))
+    assert len(steps) == 1 and len(steps[0][0]) == n * (n - 1) // 2
+
+
 def test_ends_with_room_for_all_their_links_are_not_scanned(spark, monkeypatch):
     pairs = [(a, b, (a * 7 + b * 3) % 5 + 2, ((a * b) % 7) / 7) for a in range(9) for b in range(a + 1, 9)] + [(20, 21, 3, 0.5), (21, 22, 3, 0.5)]
     df = spark.createDataFrame(pairs, "id1 long, id2 long, shared long, strength double")
