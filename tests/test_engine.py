@@ -283,6 +283,18 @@ def test_pairs_with_strengths_are_whole_as_they_are_found(spark, monkeypatch):
     assert len(steps) == 1 and len(steps[0][0]) == n * (n - 1) // 2
 
 
+def _columns_written(spark, monkeypatch, name):
+    written, real = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, tag: written.append(df.columns) or real(df, tag))
+    assert catalog.QUERIES[name](spark, SF).count()
+    return written
+
+
+def test_all_pairs_write_no_texts(spark, monkeypatch):
+    written = _columns_written(spark, monkeypatch, "co_occurrence_pairs_all")
+    assert written and not any("content" in c for c in written)
+
+
 def test_ends_with_room_for_all_their_links_are_not_scanned(spark, monkeypatch):
     pairs = [(a, b, (a * 7 + b * 3) % 5 + 2, ((a * b) % 7) / 7) for a in range(9) for b in range(a + 1, 9)] + [(20, 21, 3, 0.5), (21, 22, 3, 0.5)]
     df = spark.createDataFrame(pairs, "id1 long, id2 long, shared long, strength double")
