@@ -295,6 +295,11 @@ def test_all_pairs_write_no_texts(spark, monkeypatch):
     assert written and not any("content" in c for c in written)
 
 
+def test_all_strengths_write_no_texts(spark, monkeypatch):
+    written = _columns_written(spark, monkeypatch, "concept_strength_all")
+    assert written and not any("content" in c for c in written)
+
+
 def test_ends_with_room_for_all_their_links_are_not_scanned(spark, monkeypatch):
     pairs = [(a, b, (a * 7 + b * 3) % 5 + 2, ((a * b) % 7) / 7) for a in range(9) for b in range(a + 1, 9)] + [(20, 21, 3, 0.5), (21, 22, 3, 0.5)]
     df = spark.createDataFrame(pairs, "id1 long, id2 long, shared long, strength double")
