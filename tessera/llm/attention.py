@@ -127,10 +127,22 @@ def _softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
 
 def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows in the order of their groups, and where each group starts."""
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint8), kind="stable")  # bytes are sorted by counting
     return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
 
 
+def _with_ones(F: np.ndarray) -> np.ndarray:
+    """A column of ones more, so that one product takes weights and biases, or gives the gradient of both."""
+    out = np.empty((len(F), WIDTH + 1), f32)
+    out[:, :WIDTH], out[:, WIDTH] = F, 1
+    return out
+
+
+def _with_biases(m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of groups and of slots with the biases as their last rows."""
+    return np.concatenate([m.U, m.b[None]]), np.concatenate([m.V, m.c[:, None]], 1)
+
+
 def logs(m: Model, x: np.ndarray, y: np.ndarray, units: Units, blank: np.ndarray | None = None) -> np.ndarray:
     """Log probability (natural, float64) of the ids ``y`` (n, STRIDE) at the last
     places of windows of unit numbers ``x`` (n, WINDOW). The first ``blank`` places
@@ -154,16 +166,14 @@ def logs(m: Model, x: np.ndarray, y: np.ndarray, units: Units, blank: np.ndarray
 def _logs(m: Model, F: np.ndarray, ids: np.ndarray, units: Units) -> np.ndarray:
     group, slot = units.group[ids], units.slot[ids]
     out = units.share[ids]
-    a = F @ m.U
-    a += m.b
+    (U, V), F = _with_biases(m), _with_ones(F)
+    a = F @ U
     total = _exp(a)
     out += np.log(a[np.arange(len(ids)), group] / total)
     order, starts = _by_group(group)
-    F, a = F[order], np.empty((len(ids), SLOTS), f32)
-    for g in range(GROUPS):
-        i, j = starts[g], starts[g + 1]
-        np.matmul(F[i:j], m.V[g], out=a[i:j])
-        a[i:j] += m.c[g]
+    F, a, starts = F[order], np.empty((len(ids), SLOTS), f32), starts.tolist()
+    for g, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+        np.matmul(F[i:j], V[g], out=a[i:j])
     total = _exp(a)
     out[order] += np.log(a[np.arange(len(ids)), slot[order]] / total)
     return out
@@ -182,29 +192,28 @@ def gradient(m: Model, g: Model, x: np.ndarray, group: np.ndarray, slot: np.ndar
     S += _CAUSAL
     _softmax(S)
     Z = (S @ v).reshape(-1, WIDTH)
-    F = X + Z @ m.O
+    (U, V), F = _with_biases(m), _with_ones(X + Z @ m.O)
     # groups
-    a = F @ m.U
-    a += m.b
+    a = F @ U
     _softmax(a, 1 / rows)
     a[np.arange(rows), group] -= f32(1 / rows)
-    g.U[...] = F.T @ a
-    g.b[...] = a.sum(0)
+    both = F.T @ a
+    g.U[...], g.b[...] = both[:WIDTH], both[WIDTH]
     dF = a @ m.U.T
     # slots
     order, starts = _by_group(group)
-    Fo, a, dFo = F[order], np.empty((rows, SLOTS), f32), np.empty_like(F)
-    for i in range(GROUPS):
-        lo, hi = starts[i], starts[i + 1]
-        np.matmul(Fo[lo:hi], m.V[i], out=a[lo:hi])
-        a[lo:hi] += m.c[i]
+    Fo, a, dFo, both, turned = F[order], np.empty((rows, SLOTS), f32), np.empty_like(X), np.empty_like(V), m.V.transpose(0, 2, 1)
+    starts = starts.tolist()
+    parts = [slice(lo, hi) for lo, hi in zip(starts, starts[1:], strict=False)]
+    for i, part in enumerate(parts):
+        np.matmul(Fo[part], V[i], out=a[part])
     _softmax(a, 1 / rows)
     a[np.arange(rows), slot[order]] -= f32(1 / rows)
-    for i in range(GROUPS):
-        lo, hi = starts[i], starts[i + 1]
-        np.matmul(Fo[lo:hi].T, a[lo:hi], out=g.V[i])
-        a[lo:hi].sum(0, out=g.c[i])
-        np.matmul(a[lo:hi], m.V[i].T, out=dFo[lo:hi])
+    for i, part in enumerate(parts):
+        own = a[part]
+        np.matmul(Fo[part].T, own, out=both[i])
+        np.matmul(own, turned[i], out=dFo[part])
+    g.V[...], g.c[...] = both[:, :WIDTH], both[:, WIDTH]
     dF[order] += dFo
     # attention
     g.O[...] = Z.T @ dF

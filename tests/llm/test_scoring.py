@@ -159,3 +159,36 @@ def test_empty_and_untrained(spark):
     assert scoring.scored(none, F.lit(True), PATH).count() == 0
     (r,) = scoring.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False), PATH).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score < 0
+
+
+def test_biases_are_learned_by_the_products_of_their_weights():
+    """A step costs three products a group and no sum beside them; biases get the mean of what is wrong by group and slot."""
+    rng = np.random.default_rng(3)
+    counts, profiles = rng.integers(1, 90, 1500).astype(float), rng.random((1500, 4)).astype(np.float32)
+    units = attention.units_of(counts, profiles)
+    m = attention.Model.start(counts, units)
+    U, V = attention._with_biases(m)
+    F = rng.normal(size=(5, attention.WIDTH)).astype(np.float32)
+    assert np.allclose(attention._with_ones(F) @ U, F @ m.U + m.b, atol=1e-5) and np.allclose(attention._with_ones(F) @ V[3], F @ m.V[3] + m.c[3], atol=1e-5)
+    ids = rng.integers(0, 1500, 3 * attention.WINDOW + 1)
+    x, y = units.unit[ids[:-1]].reshape(3, -1), ids[1:].reshape(3, -1)
+    g = attention.Model(np.full_like(m.vector, np.nan))
+    attention.gradient(m, g, x, units.group[y], units.slot[y])
+    mean = lambda: -(attention._logs(m, features(), y.ravel(), units) - units.share[y.ravel()]).mean()
+
+    def features():
+        X = (m.E[x] + m.P).reshape(-1, attention.WIDTH)
+        q, k, v = np.split((X @ m.W).reshape(3, attention.WINDOW, -1), 3, -1)
+        S = attention._softmax(q @ k.transpose(0, 2, 1) * attention._SCALE + attention._CAUSAL)
+        return X + (S @ v).reshape(-1, attention.WIDTH) @ m.O
+
+    for view, slope in ((m.b, g.b), (m.c[units.group[y[0, 0]]], g.c[units.group[y[0, 0]]])):
+        for i in (0, 7):
+            was = view[i]
+            view[i] = was + 0.05
+            up = mean()
+            view[i] = was - 0.05
+            down, view[i] = mean(), was
+            assert abs((up - down) / 0.1 - slope[i]) < 2e-4
+    empty = np.setdiff1d(np.arange(attention.GROUPS), units.group[y])
+    assert not np.isnan(g.vector).any() and not g.V[empty].any() and not g.c[empty].any()
