@@ -15,7 +15,7 @@ from tessera.functions import text as T
 from tessera.operators import cochange, consolidate, feedback, graph, history, state
 from tessera.operators.components import connected_components
 from tessera.operators.lexical import query_terms
-from tessera.queries import graphs
+from tessera.queries import drivers, graphs
 from tessera.settings import Documents, Links, Segments
 from tessera.sources import files
 
@@ -315,6 +315,27 @@ def test_ends_with_room_for_all_their_links_are_not_scanned(spark, monkeypatch):
     assert consolidate.link_concepts(m, none, Links(max_per_node=3)).count() == 6
 
 
+def test_known_links_are_left_out_where_records_meet(spark, monkeypatch):
+    """Whichever way they go and wherever their ends lie, with no join of the pairs found; of very many, by a join."""
+    m = spark.createDataFrame([(i, ["ab", "cd"] + ["ef"] * (i % 2), i != 7, False) for i in range(24)], "id long, entity_ids array<string>, is_active boolean, is_archived boolean")
+    old = [(b, a, "relates_to") if (a + b) % 2 else (a, b, "relates_to") for a in range(24) for b in range(a + 1, 24) if (a * b) % 5 == 1] + [(99, 3, "relates_to"), (None, 3, "relates_to")]
+    existing = spark.createDataFrame(old + [(0, 1, "other")], "source_memory_id long, target_memory_id long, link_type string")
+    want = {(a, b) for a in range(24) for b in range(a + 1, 24) if (a * b) % 5 != 1 and 7 not in (a, b)}
+    for known in (16, 0):
+        monkeypatch.setattr(graph, "KNOWN", known)
+        links = consolidate.link_concepts(m, existing)
+        got = [(r.source_memory_id, r.target_memory_id) for r in links.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert ("LeftAnti" in links._jdf.queryExecution().toString()) == (known == 0)
+
+
+def test_links_of_concepts_write_no_texts(spark, monkeypatch):
+    written, real = [], drivers.materialize
+    monkeypatch.setattr(drivers, "materialize", lambda df, tag: written.append(df.columns) or real(df, tag))
+    assert catalog.QUERIES["concept_links"](spark, SF).count()
+    assert written and not any("content" in c for c in written)
+
+
 def test_sets_that_meet_carry_ranks_only(spark):
     sets = spark.createDataFrame([(i, [1, 2, 3], [7, 8, 9], [0.5, 0.5, 0.5]) for i in range(3)], "id long, ranks array<long>, names array<long>, weights array<double>")
     got = graph._met(sets, 1, 0.5, 500)
